@@ -25,7 +25,6 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_BASE_INVERSE, _BLOCK)
-_UP_BLOCK, _DOWN_BLOCK = pow(_BASE, _BLOCK, 2**64), pow(_BASE_INVERSE, _BLOCK, 2**64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,28 +41,49 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return mix(left * np.uint64(0xD6E8FEB86659FD93) + right)
 
 
-def _scale(at: np.ndarray, small: np.ndarray, step: int) -> np.ndarray:
-    """step_base ** at for positions of any size, from a table for one block."""
-    with np.errstate(over="ignore"):
-        blocks = _powers(step, int(at.max() // _BLOCK) + 1) if len(at) else np.ones(1, np.uint64)
-        return small[at % _BLOCK] * blocks[at // _BLOCK]
+def groups_of_rows(offsets: np.ndarray, most: int = 1 << 20):
+    """``(first row, last row + 1)`` of runs of rows with at most ``most`` bytes each, or of single longer rows."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, min(b, n)
+        a = min(b, n)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word in order, and the n+1 offsets of the rows into these words.
 
-    A row's end also ends a word. Empty rows have no words.
+    A row's end also ends a word. Empty rows have no words. Rows are taken a megabyte at a
+    time, so that working arrays stay small.
     """
-    n = len(data)
+    hashes, row_at, n = [], [np.zeros(1, np.int64)], 0
+    for a, b in groups_of_rows(offsets):
+        h, at = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        hashes.append(h)
+        row_at.append(at[1:] + n)
+        n += len(h)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(row_at)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_bounds(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.arange(n)
+    out = np.zeros(len(starts), np.uint64)
+    row_at = np.searchsorted(starts, offsets).astype(np.int64)
+    # prefix sums restart at each block's first word, so that powers come from one table
+    first = 0
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _scale(at, _UP, _UP_BLOCK), out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * _scale(starts, _DOWN, _DOWN_BLOCK)
-    return mix(raw), np.searchsorted(starts, offsets).astype(np.int64)
+        while first < len(starts):
+            base = starts[first]
+            last = max(first + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+            size = int(ends[last - 1] - base)
+            up = _UP[:size] if size <= _BLOCK else _powers(_BASE, size)
+            down = _DOWN if size <= _BLOCK else _powers(_BASE_INVERSE, size)
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(_BYTE[data[base : base + size]] * up, out=sums[1:])
+            s, e = starts[first:last] - base, ends[first:last] - base
+            out[first:last] = (sums[e] - sums[s]) * down[s]
+            first = last
+    return mix(out), row_at
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,12 @@ _SHORT = 8
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The fingerprint of each row of a batch of UTF-8 texts (see ``fingerprints``)."""
+    """The fingerprint of each row of a batch of UTF-8 texts (see ``fingerprints``), a megabyte at a time."""
+    parts = [_fingerprints_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle, seed) for a, b in hashing.groups_of_rows(offsets)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
     low = _LOWER[data]
     starts, ends = hashing.word_bounds(low, offsets)
     row_at = np.searchsorted(starts, offsets)
