@@ -21,6 +21,13 @@ def candidate_recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("candidate_recall", _share(F.col("found_true_matches"), F.col("total_true_matches")))
 
 
+def totals(pairs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row: anchors, pairs, pairs per anchor (0 without anchors), and anchors without a pair."""
+    per = anchors.select(F.col("entity_id").alias("s1_id")).distinct().join(pairs.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id", "left").na.fill(0)
+    n = F.count("*")
+    return per.agg(n.alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.round(_share(F.coalesce(F.sum("n"), F.lit(0)), n), 6).alias("pairs_per_anchor"), F.count(F.when(F.col("n") == 0, 1)).alias("without"))
+
+
 def sweep(ranked: DataFrame, truth: DataFrame, n_anchors: int, n_targets: int, ks: tuple[int, ...] = SWEEP) -> DataFrame:
     """Recall, pairs per anchor and reduction ratio for each k, from one ranked table in one pass."""
     pairs = ranked.groupBy("rank").agg(F.count("*").alias("n"))

@@ -344,6 +344,12 @@ def ev6_macro_f(spark, sf_dir):
     return evaluation.macro_f(blocking.union_and_rank(a, s).filter("rank <= 2"), _truth(a, t), a)
 
 
+@query(f"WITH {_signals_sql()}, {_UNION}, n AS (SELECT entity_id, (SELECT count(*) FROM fin WHERE s1_id = entity_id AND score_c > 0) AS n FROM s1) SELECT count(*) AS anchors, sum(n)::BIGINT AS pairs, round(sum(n) / count(*), 6) AS pairs_per_anchor, count(*) FILTER (n = 0) AS without FROM n")
+def ag8_totals(spark, sf_dir):
+    a, _, s = _two_signals(spark, sf_dir)
+    return evaluation.totals(blocking.union_and_rank(a, s).filter("score_c > 0"), a)
+
+
 # validation
 
 
