@@ -109,6 +109,21 @@ def test_neighbours(spark):
     assert len(exact) == 24 and cells == exact
 
 
+def test_stored_index(spark, tmp_path):
+    from quarrylink.operators import index
+
+    e = spark.createDataFrame([(i, "x", [float((i * 7 + j) % 11) for j in range(8)]) for i in range(40)], "entity_id int, country string, v array<double>").withColumn("vec", embedding.unit(F.col("v")))
+    q, t = e.filter("entity_id < 8"), e.filter("entity_id >= 8").withColumn("pos", F.col("entity_id"))
+    path = f"{tmp_path}/index"
+    assert index.read_settings(spark, path) is None
+    assert index.build(t.filter("entity_id < 30"), path, 4).count() == 22
+    before = spark.read.parquet(f"{path}/centroids").collect()
+    assert index.build(t, path, 4).count() == 32 and spark.read.parquet(f"{path}/centroids").collect() == before
+    found = {(r["s1_id"], r["target_id"]) for r in index.search(q, path, 3, probes=4).collect()}
+    assert found == {(r["s1_id"], r["target_id"]) for r in embedding.exact_neighbours(q, t, 3).collect()}
+    assert index.build(t, path, 2).count() == 32 and index.read_settings(spark, path)["cells"] == 2
+
+
 def test_f_score(spark):
     anchors = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "entity_id string")
     truth = spark.createDataFrame([("S1-1", "S2-47"), ("S1-1", "S3-812")], "s1_id string, target_id string")
