@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylink.llm.common import read, stored
+from quarrylink.llm.common import fresh, read, stored
 
 WINDOW = 10
 SHINGLE = 3
@@ -103,6 +103,17 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     return out.select(F.col("doc_id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(got).cast("long").alias("n_items"), F.sha2(F.array_join(got, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), got.alias("items"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that hold any window of an item; all columns pass through.
+
+    Rows are told apart by id and text together, so null and repeated ids are judged right.
+    """
+    of, with_hash = fresh(docs, "hit_id", "hit_hash")
+    hits = occurrences(docs, items, doc_id, text, **options).select(F.col("doc_id").alias(of), F.col("text_hash").alias(with_hash)).distinct()
+    bad = stored(hits, "contaminated")
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(of)) & (F.xxhash64(F.col(text)) == F.col(with_hash)), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")

@@ -29,7 +29,14 @@ def test_stages_follow_their_operators(spark):
     assert {r["doc_id"] for r in packed} == ids(docs) and all(r["offset"] + r["length"] <= packing.MAX_TOKENS for r in packed)
     again = cp.run(spark, SF)
     assert again.count() == len(packed)
-    # rows in no order, on empty tables
+    # null ids: a contaminated row goes, a clean one and copies without an id stay
+    item = read(spark, SF, "benchmark").first()["text"]
+    odd = spark.createDataFrame([(None, item, None, None, None), (None, "clean text", "en", "a", 1), (None, "clean text", "en", "a", 1), (3, "clean text", "en", "a", 1), (4, "clean text", "en", "a", 1), (5, None, None, None, None)], docs.schema)
+    assert sorted(str(r["doc_id"]) for r in cp.drop_contaminated(spark, odd, SF).collect()) == ["3", "4", "5", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in cp.keep_one_of_near_copies(spark, odd, SF).collect()) == ["3", "5", "None", "None", "None"]
+    for _, stage in cp.STAGES:
+        assert stage(spark, odd, SF).count() >= 1
+    # empty tables
     empty = read(spark, SF, "documents").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
