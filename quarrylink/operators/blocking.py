@@ -80,7 +80,8 @@ def shared_features(anchors: DataFrame, postings: DataFrame, feature: Column, to
     """``s1_id, target_id, score, rank``: targets by the number of distinct shared features, ties by position."""
     left = features(anchors, feature).select("country", "feature", F.col("entity_id").alias("s1_id"))
     pairs = left.join(postings.select("country", "feature", F.col("entity_id").alias("target_id"), "pos"), ["country", "feature"])
-    counted = pairs.groupBy("s1_id", "target_id").agg(F.count("*").cast("double").alias("score"), F.first("pos").alias("pos"))
+    # dealt by anchor once, for both the counts and the ranks; a position as part of the key keeps the aggregation hashed
+    counted = pairs.repartition("s1_id").groupBy("s1_id", "target_id", "pos").agg(F.count("*").cast("double").alias("score"))
     return ranked(counted, [F.desc("score"), F.asc("pos")], top).drop("pos")
 
 
