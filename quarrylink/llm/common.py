@@ -16,28 +16,54 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it. Where a session has no such setting (tests on one
-    machine), a temporary folder is made once and set for the session.
+    Only a session whose driver and tasks are one process (``local[..]``, as in tests) may do
+    without the setting: it gets a temporary folder. On a cluster its absence is an error,
+    since executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarrylink-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/quarrylink/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor costs only tasks that read the table again. It
     also gives the planner the true size, so that it broadcasts only what is small.
+    ``discard`` deletes one such table, ``release`` all of the session's.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quarrylink/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing that is still to run reads it."""
+    _delete(df.sparkSession, df._stored_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this session stored; results not written yet can't be read any more."""
+    _delete(spark, _own_folder(spark))
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

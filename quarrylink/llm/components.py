@@ -2,7 +2,7 @@
 
 Large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
 Beyond") replace edges until every node hangs on the smallest node of its component. Each
-round is written to the shared folder. A node's smallest neighbour is found by an
+round is written to the shared folder, and the one before is deleted then. A node's smallest neighbour is found by an
 aggregation that combines before the shuffle, and joined back, so that a node with a third of
 all edges is a skewed join, which Spark splits, and never one group.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylink.llm.common import stored
+from quarrylink.llm.common import discard, stored
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -49,8 +49,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if seen == mark or not seen["n"]:
             break
-        mark = seen
+        mark, before = seen, now
         now = stored(_pairs(_small(_pairs(_large(now)).distinct())).distinct(), "edges")
+        discard(before)
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     alone = loops.select(F.col("a").alias("node"), F.col("a").alias("component"))

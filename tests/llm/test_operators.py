@@ -453,13 +453,51 @@ def test_kneser_ney_brute_force(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(12)]
     train = [[rng.choice(vocab[: rng.randint(2, 12)]) for _ in range(rng.randint(1, 60))] for _ in range(40)]
-    test = [*train[:5], ["v1", "new", "v2", "v3"], ["other"], []]
-    texts = spark.createDataFrame([(" ".join(d),) for d in train], "text string")
-    model = quality.fit(texts)
-    got = quality.perplexities(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(test)], "i int, text string"), model).orderBy("i").collect()
+    test = [*train[:5], ["v1", "new", "v2", "v3"], ["other"], [], train[0]]
+    texts = spark.createDataFrame([(" ".join(d),) for d in train] + [(None,), ("",)], "text string")
+    model, unseen = quality.fit(texts)
+    docs = spark.createDataFrame([(i, " ".join(d), 0) for i, d in enumerate(test)] + [(len(test), None, 0)], "i int, text string, a int")
     log_p = _kneser_ney(train)
-    for r, d in zip(got, test, strict=True):
-        assert r["n_words"] == len(d) and r["log_p"] == pytest.approx(log_p(tuple(d)), rel=1e-4, abs=1e-4)
+    # a broadcast model and a shuffled one give the same
+    for most in (quality.BROADCAST_ROWS, 0):
+        got = quality.perplexities(docs, model, unseen, most=most).orderBy("i").collect()
+        assert got[0].asDict().keys() == {"i", "text", "a", "n_words", "log_p"}
+        for r, d in zip(got, [*test, []], strict=True):
+            assert r["n_words"] == len(d) and r["log_p"] == pytest.approx(log_p(tuple(d)), rel=1e-4, abs=1e-4)
+
+
+def test_quality_by_its_definition(spark):
+    """Perplexity, threshold and decision of every document, by brute force."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(40)]
+    rows = []
+    for i in range(260):
+        words = [rng.choice(vocab[: 25 if i % 2 else 40]) for _ in range(rng.randint(0, 50))]
+        rows.append((i, " ".join(words) if i % 11 else " ".join(words[:3] + ["odd"] * 30), "en" if i % 3 else None if i % 2 else "fr"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 11 > 0), 0) for i in range(200)], LABELS)
+    hashes = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1000)).alias("p")).collect()}
+    trusted = [(i, t.split(), g) for i, t, g in rows if i < 200 and i % 11]
+    log_p = _kneser_ney([w for i, w, _ in trusted if hashes[i] >= 500])
+    held = [(w, g) for i, w, g in trusted if hashes[i] < 500 and w]
+    mean = sum(log_p(tuple(w)) for w, _ in held) / sum(len(w) for w, _ in held)
+    value = lambda w: -(log_p(tuple(w)) + quality.PRIOR_WORDS * mean) / (len(w) + quality.PRIOR_WORDS)
+
+    def limit(values):
+        steps = sorted(math.ceil(v / quality.STEP) for v in values)
+        return quality.MARGIN * math.exp(quality.STEP * steps[math.ceil(quality.QUANTILE * len(steps)) - 1])
+
+    every = limit([value(w) for w, _ in held])
+    of = {g: limit([value(w) for w, l in held if l == g]) for g in ("en", "fr")}
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 260
+    for r in got:
+        w = (r["text"] or "").split()
+        threshold = of.get(r["lang"], every)
+        assert r["perplexity"] == pytest.approx(math.exp(value(w)), rel=1e-4) and r["threshold"] == pytest.approx(threshold, rel=2e-3)
+        if abs(math.exp(value(w)) / threshold - 1) > 3e-3:
+            assert r["keep"] == (not w or math.exp(value(w)) <= threshold)
+    assert {r["keep"] for r in got} == {True, False}
 
 
 def test_quality_keeps_clean_documents(spark, odd, labels):
