@@ -390,6 +390,62 @@ def test_deobfuscation():
     assert toxicity.restored("words,", model) == ["words"] and toxicity.restored("2024", model) == []
 
 
+def _every_path(token, model, split):
+    """The best score and text of all paths, each scored whole."""
+    from itertools import product
+
+    best = (-math.inf, "")
+    breaks = list(product([False, True], repeat=len(token) - 1)) if split else [(False,) * (len(token) - 1)]
+    for chosen in product(*toxicity.ways_of(token)):
+        for cut in breaks:
+            score, words = sum(cost for _, cost in chosen), [""]
+            for i, (c, _) in enumerate(chosen):
+                if i and cut[i - 1]:
+                    words.append("")
+                words[-1] += c
+            if len(words) > 1 and not all(words):
+                continue
+            for w in words:
+                padded = "^" * (model.order - 1) + w + "$"
+                score += sum(math.log(model.p(padded[i - model.order + 1 : i], padded[i])) for i in range(model.order - 1, len(padded)))
+            best = max(best, (score, " ".join(words)))
+    return best
+
+
+def test_viterbi_is_exact():
+    model = toxicity.CharModel(Counter({w: n for n, w in enumerate("idiot stupid ass shit you die lass sass the trash i a".split(), 1)}))
+    for token in ("1d!07", "5h!7", "@$$", "a$$", "$tup1d", "y*u", "i..d", "(l4ss", "diieee", "é*1"):
+        score, text = toxicity.best_path(token, model)
+        want = _every_path(token, model, False)
+        assert score == pytest.approx(want[0]) and (text == want[1] or score == pytest.approx(want[0]))
+    for token in ("youdie", "1d1", "a$$a", "ia"):
+        assert toxicity.best_path(token, model, split=True)[0] == pytest.approx(_every_path(token, model, True)[0])
+
+
+def test_disguises_without_gates():
+    words = "idiot stupid moron asshole ass shit die you are a so hello world people these words trash thing this that with house time".split()
+    model = toxicity.CharModel(Counter({w: 50 for w in words}))
+    for seen, word in {"$tup1d": "stupid", "!d!ot": "idiot", "@$$h0l3": "asshole", "a$$": "ass", "5h!7": "shit", "1d!07": "idiot", "idi" + "o" * 40 + "t": "idiot", "i.d.i.o.t" + "!" * 40: "idiot", "stup!d.": "stupid"}.items():
+        assert word in toxicity.restored(seen, model)
+    assert toxicity.restored("hello!", model) == ["hello"] and toxicity.restored("(words)", model) == ["words"]
+    for number in ("2024", "$1,234.50", "50%", "12:30", "#1", "1/2", "--"):
+        assert toxicity.restored(number, model) == []
+    said = lambda text: {w for ws in toxicity.words_of(text, model, {}) for w in ws}
+    assert "die" in said("so d i e now") and "moron" in said("m  o  r  o  n  s") | said("m  o  r  o  n") and "idiot" in said("i d i 0 t")
+    assert {"you", "idiot"} <= said("hey y o u i d i o t") and "ass" in said("an a s s")
+
+
+def test_bounds_of_fitting_hold_for_repeated_ids(spark):
+    rows = [(i % 4, f"the of and text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(4)], LABELS)
+    got, _ = toxicity.training_rows(docs, marks, most=2)
+    assert len(got) == 2
+    long = spark.createDataFrame([(i, "the of " * 1000) for i in range(40)], "doc_id bigint, text string")
+    got, weights = toxicity.training_rows(long, spark.createDataFrame([(i, 1, 0) for i in range(40)], LABELS), most_bytes=30_000)
+    assert len(got) == 4 and weights["en"][0] > 4
+
+
 def test_toxicity_learns_and_holds_out(spark, odd, labels):
     rng = random.Random(4)
     plain = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
