@@ -1,10 +1,14 @@
 """Stupid-backoff scores with n-gram counts of the whole corpus.
 
-The corpus is dealt into chunks of documents. A chunk sends each distinct n-gram once, with
-its count there, to the shard that the n-gram's hash names; a shard adds up the counts of
-all chunks and answers every chunk with the totals. A chunk then has the counts of all its
-n-grams and sums the scores of each of its documents. So the shuffle carries distinct
-n-grams of chunks, in packed blocks, and a very frequent n-gram is one entry per chunk.
+The corpus is dealt into chunks of documents. A chunk explodes its n-grams and sends each
+distinct one once, with its count there, to the shard that the n-gram's hash names; a shard
+holds the count table of its n-grams, made from all chunks, and joins it back to every
+chunk's n-grams. A chunk then has the counts of all its n-grams and sums the scores of each
+of its documents. So the shuffle carries distinct n-grams of chunks, in packed blocks, and a
+very frequent n-gram is one entry per chunk.
+
+Chunks and shards grow with the root of the corpus beyond ``BASE_BYTES``, so the number of
+blocks (chunks times shards) grows as the corpus does, and a block keeps its mean size.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 CHUNK_BYTES = 12 << 20
 SHARD_BYTES = 24 << 20
+#: Size of text up to which chunks and shards have the sizes above; at 100 times as much they have 10 times these.
+BASE_BYTES = 16 << 30
+#: Chunks at least, so that a small corpus is dealt evenly, too.
+MIN_CHUNKS = 48
 KEY_BITS = np.uint64(56)
 
 
@@ -65,6 +73,13 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[first], np.diff(np.append(first, len(found)))
 
 
+def dealt(size: int) -> tuple[int, int]:
+    """How many chunks and shards a corpus of so many bytes has."""
+    times = max(1.0, math.sqrt(size / BASE_BYTES))
+    chunks = math.ceil(size / (CHUNK_BYTES * times))
+    return max(1, chunks, min(MIN_CHUNKS, size >> 16)), max(1, math.ceil(size / (SHARD_BYTES * times)))
+
+
 def _cut(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's range of keys begins among sorted keys."""
     edges = [(s << int(KEY_BITS)) // shards for s in range(shards + 1)]
@@ -81,17 +96,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     document start at the order that their place allows, at no discount. Natural logs are
     rounded to millionths and added as integers, so the order of adding does not matter.
 
-    Null and empty texts have no words and a score of 0. Rows with equal keys are rows of
-    their own; null keys are kept; extra columns are ignored. An empty table gives no rows.
+    Null and empty texts have no words and a score of 0; very long texts are scored whole, in
+    one chunk. Rows with equal keys are rows of their own; null keys are kept; extra columns
+    are ignored. An empty table gives no rows. N-grams are told apart by 56 bits of hash.
     """
     (chunk,) = fresh(docs, "chunk")
     size, corpus_words = docs.agg(F.sum(F.octet_length(F.col(text))), F.sum(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")))).first()
     size, corpus_words = size or 0, max(1, corpus_words or 0)
-    chunks, shards = max(1, math.ceil(size / CHUNK_BYTES)), max(1, math.ceil(size / SHARD_BYTES))
+    chunks, shards = dealt(size)
     kind = docs.schema[key].dataType.simpleString()
     # equal rows land in one chunk; a hot key with different texts is spread
-    dealt = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.pmod(F.xxhash64(F.col(key), F.xxhash64(F.col(text))), F.lit(chunks)).cast("int").alias(chunk))
-    spread = dealt.repartition(max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), chunk)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.pmod(F.xxhash64(F.col(key), F.xxhash64(F.col(text))), F.lit(chunks)).cast("int").alias(chunk))
+    spread = rows.repartition(max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), chunk)
 
     def ask(keys, table):
         if not table.num_rows:
@@ -100,7 +116,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         for n, k in enumerate(_keys(*_words(table.column("t")), order), 1):
             distinct, counts = _distinct(k)
             cuts = _cut(distinct, shards)
-            out += [(n, s, _pack(distinct[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            out += [(n, int(s), _pack(distinct[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts))]
         return keys, out
 
     def asked(key_scalars, table):
