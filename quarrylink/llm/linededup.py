@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line of a host is boilerplate if more than ``ratio`` of the host's pages contain it and at
-least ``min_pages`` of them do (else a host of one page would lose its whole text).
+least ``min_pages`` of them do: a share of fewer pages says nothing (each line of a host of
+one page is on all its pages, and the whole text would go). Both hold at every size.
 Boilerplate lines go from every page of that host; nothing else changes.
 """
 
@@ -26,7 +27,9 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
 
     Each page counts a line once, whatever the number of its repeats. Counts are combined
     before the shuffle, so a host with a third of all pages is no hot spot: the key holds
-    the line. At most 1/ratio times the mean number of lines of a page are left for a host.
+    the line. A host keeps at most 1/ratio times the mean number of its pages' lines, since
+    each such line takes up more than ``ratio`` of its pages; so a host's lines fit in one row,
+    however many pages it has.
     """
     lines = F.filter(F.array_distinct(F.split(F.col(text), "\n")), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "")
     counted = docs.select(F.col(host).alias("host"), F.explode(lines).alias("line")).select("host", _identity(F.col("line")).alias("line"))
@@ -40,7 +43,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
 
     Lines end at line feeds and are compared exactly. Blank lines are never boilerplate. A null
     text stays null, with no lines, though its page counts for the host; an empty text has
-    one blank line. Null hosts form one host. Repeated rows are pages of their own. Extra
+    one blank line; very long texts are cut whole; an empty table gives no rows. Null hosts form one host. Repeated rows are pages of their own. Extra
     columns pass through; where they have the new columns' names, the new ones get a suffix.
     """
     lost, key, n_lines, n_dropped, kept = fresh(docs, "lost", "lost_host", "n_lines", "n_dropped", "kept")
@@ -50,7 +53,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     out = docs.join(by_host, F.col(host).eqNullSafe(F.col(key)), "left")
     lines = F.split(F.col(text), "\n")
     none = F.array().cast(by_host.schema[lost].dataType)
-    out = out.withColumn(kept, F.when(F.col(lost).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.coalesce(F.col(lost), none), _identity(x)))))
+    # the host's lines that this page has, found by hashing; most pages have few
+    own = F.array_intersect(F.coalesce(F.col(lost), none), F.transform(F.array_distinct(lines), _identity))
+    out = out.withColumn(lost, F.when(F.col(lost).isNotNull(), own))
+    out = out.withColumn(kept, F.when(F.col(lost).isNull() | (F.size(lost) == 0), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.coalesce(F.col(lost), none), _identity(x)))))
     out = out.withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     out = out.withColumn(n_lines, F.greatest(F.col(n_lines), F.lit(0).cast("long")))
     out = out.withColumn(n_dropped, F.when(F.col(kept).isNull(), F.lit(0)).otherwise(F.col(n_lines) - F.size(kept)).cast("long"))
