@@ -108,6 +108,11 @@ def test_lm_brute_force(spark, odd, monkeypatch):
     assert lm.score(odd.limit(0)).count() == 0
 
 
+def test_lm_blocks_grow_with_the_corpus():
+    blocks = {size: math.prod(lm.dealt(size)) for size in (10**10, 10**11, 10**12, 10**13, 10**14)}
+    assert all(8 < blocks[10 * s] / blocks[s] < 12 for s in (10**11, 10**12, 10**13)) and lm.dealt(0) == (1, 1)
+
+
 # 2 line dedup
 
 
@@ -430,7 +435,7 @@ def test_disguises_without_gates():
     assert toxicity.restored("hello!", model) == ["hello"] and toxicity.restored("(words)", model) == ["words"]
     for number in ("2024", "$1,234.50", "50%", "12:30", "#1", "1/2", "--"):
         assert toxicity.restored(number, model) == []
-    said = lambda text: {w for ws in toxicity.words_of(text, model, {}) for w in ws}
+    said = lambda text: {w for t in text.split() for w in toxicity.words_of(t, model)} | {w for r in toxicity.spelled_of(text) for w in toxicity.spelled_words(r, model)}
     assert "die" in said("so d i e now") and "moron" in said("m  o  r  o  n  s") | said("m  o  r  o  n") and "idiot" in said("i d i 0 t")
     assert {"you", "idiot"} <= said("hey y o u i d i o t") and "ass" in said("an a s s")
 
@@ -511,12 +516,14 @@ def test_kneser_ney_brute_force(spark):
     train = [[rng.choice(vocab[: rng.randint(2, 12)]) for _ in range(rng.randint(1, 60))] for _ in range(40)]
     test = [*train[:5], ["v1", "new", "v2", "v3"], ["other"], [], train[0]]
     texts = spark.createDataFrame([(" ".join(d),) for d in train] + [(None,), ("",)], "text string")
-    model, unseen = quality.fit(texts)
+    fitted = quality.fit(texts)
     docs = spark.createDataFrame([(i, " ".join(d), 0) for i, d in enumerate(test)] + [(len(test), None, 0)], "i int, text string, a int")
     log_p = _kneser_ney(train)
     # a broadcast model and a shuffled one give the same
     for most in (quality.BROADCAST_ROWS, 0):
-        got = quality.perplexities(docs, model, unseen, most=most).orderBy("i").collect()
+        model = quality.Model(fitted.packed, fitted.words, fitted.logs, fitted.unseen)
+        assert (model.shared(most) is None) == (most == 0)
+        got = quality.perplexities(docs, model, most=most).orderBy("i").collect()
         assert got[0].asDict().keys() == {"i", "text", "a", "n_words", "log_p"}
         for r, d in zip(got, [*test, []], strict=True):
             assert r["n_words"] == len(d) and r["log_p"] == pytest.approx(log_p(tuple(d)), rel=1e-4, abs=1e-4)
