@@ -21,6 +21,7 @@ TOKEN_TOP = 20
 NUMBER_TOP = 15
 EMBEDDING_TOP = 20
 FINAL_TOP = 20
+MIN_SIMILARITY = 0.25
 WEIGHTS = {"a": 1.0, "b": 0.35, "c": 0.25}
 
 
@@ -77,11 +78,27 @@ def number_postings(placed: DataFrame, address: str = "clean_address", max_posti
 
 
 def shared_features(anchors: DataFrame, postings: DataFrame, feature: Column, top: int) -> DataFrame:
-    """``s1_id, target_id, score, rank``: targets by the number of distinct shared features, ties by position."""
-    left = features(anchors, feature).select("country", "feature", F.col("entity_id").alias("s1_id"))
-    pairs = left.join(postings.select("country", "feature", F.col("entity_id").alias("target_id"), "pos"), ["country", "feature"])
+    """``s1_id, target_id, score, rank``: targets by the number of distinct shared features, ties by position.
+
+    An anchor's most frequent feature is joined to the first ``top`` postings only. A target
+    that shares nothing else scores 1 and comes after all of these, so it is among the best
+    ``top`` only if it is one of them; a target that shares a rarer feature is found by that
+    one, and whether it has the frequent one, too, is read off its own features.
+    """
+    key = ["country", "feature"]
+    left = features(anchors, feature).select(*key, F.col("entity_id").alias("s1_id"))
+    left = left.join(postings.groupBy(*key).agg(F.count("*").alias("n")), key)
+    common = left.groupBy("s1_id", "country").agg(F.max(F.struct("n", "feature")).alias("most")).select("s1_id", "country", F.col("most.feature").alias("common"))
+    left = left.join(common, ["s1_id", "country"])
+    own = postings.groupBy("country", "entity_id").agg(F.collect_set("feature").alias("own"))
+    rows = postings.select(*key, F.col("entity_id").alias("target_id"), "pos")
+    rare = left.filter("feature <> common").join(rows.join(own.withColumnRenamed("entity_id", "target_id"), ["country", "target_id"]), key)
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy("pos"))).filter(F.col("place") <= top)
+    often = left.filter("feature = common").join(first, key)
+    pairs = rare.select("s1_id", "target_id", "pos", F.lit(1).alias("hit"), F.array_contains("own", F.col("common")).cast("int").alias("more"))
+    pairs = pairs.unionAll(often.select("s1_id", "target_id", "pos", F.lit(0), F.lit(1)))
     # dealt by anchor once, for both the counts and the ranks; a position as part of the key keeps the aggregation hashed
-    counted = pairs.repartition("s1_id").groupBy("s1_id", "target_id", "pos").agg(F.count("*").cast("double").alias("score"))
+    counted = pairs.repartition("s1_id").groupBy("s1_id", "target_id", "pos").agg((F.sum("hit") + F.max("more")).cast("double").alias("score"))
     return ranked(counted, [F.desc("score"), F.asc("pos")], top).drop("pos")
 
 
@@ -113,7 +130,7 @@ def gram_counts(df: DataFrame, name: str = "clean_name") -> DataFrame:
     return df.select("country", "entity_id", F.explode(word_grams(F.col(name))).alias("gram")).groupBy("country", "entity_id", "gram").agg(F.count("*").alias("tf"))
 
 
-def tfidf_candidates(anchors: DataFrame, placed: DataFrame, top: int = 20, min_similarity: float = 0.25, min_df: int = 2, max_features: int = 150_000, name: str = "clean_name") -> DataFrame:
+def tfidf_candidates(anchors: DataFrame, placed: DataFrame, top: int = 20, min_similarity: float = MIN_SIMILARITY, min_df: int = 2, max_features: int = 150_000, name: str = "clean_name") -> DataFrame:
     """Targets by cosine of character 3-gram TF-IDF, fitted on the targets of a country.
 
     Grams on fewer than ``min_df`` targets are left out; of the rest, the ``max_features``

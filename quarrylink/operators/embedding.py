@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylink.functions import text as tx
@@ -19,6 +22,8 @@ DIMENSIONS = 64
 CELL_TARGETS = 500
 PROBES = 32
 TRAIN = 100_000
+#: Targets of a block that exact search compares in one task.
+BLOCK_TARGETS = 50_000
 
 
 def unit(v: Column) -> Column:
@@ -47,14 +52,32 @@ def encoded(df: DataFrame, text: str = "clean_name", role: str | None = None, en
     return df.withColumn("vec", unit(encoder(x)))
 
 
-def exact_neighbours(queries: DataFrame, targets: DataFrame, top: int = EMBEDDING_TOP) -> DataFrame:
+def encoded_in_batches(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "clean_name", role: str | None = None, batch: int = 256) -> DataFrame:
+    """As ``encoded``, by a model that takes a list of texts to a matrix; it is called with ``batch`` texts at most."""
+    x = tx.safe(F.col(text)) if role is None else tx.encoder_text(F.col(text), role)
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        vecs = [v for at in range(0, len(texts), batch) for v in np.asarray(encoder(texts.iloc[at : at + batch].to_list()), np.float32)]
+        return pd.Series(vecs, dtype=object)
+
+    return df.withColumn("vec", unit(run(x)))
+
+
+def exact_neighbours(queries: DataFrame, targets: DataFrame, top: int = EMBEDDING_TOP, block: int = BLOCK_TARGETS) -> DataFrame:
     """``s1_id, target_id, score, rank``: the ``top`` largest inner products in the same country.
 
-    For a bounded set of queries: all its rows of a country meet all targets there.
+    For a stated set of queries, which meets all targets of its country in blocks: targets
+    are dealt into parts of about ``block`` rows, each query goes to every part, and each
+    part's best are cut to ``top`` before they meet. So one country is no single task.
     """
-    pairs = queries.select("country", F.col("entity_id").alias("s1_id"), F.col("vec").alias("q")).join(targets.select("country", F.col("entity_id").alias("target_id"), "pos", F.col("vec").alias("t")), "country")
-    scored = pairs.select("s1_id", "target_id", "pos", F.round(inner(F.col("q"), F.col("t")), 6).alias("score"))
-    return ranked(scored, [F.desc("score"), F.asc("pos")], top).drop("pos")
+    parts = max(1, targets.count() // block)
+    q = queries.select("country", F.col("entity_id").alias("s1_id"), F.col("vec").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    t = targets.select("country", F.col("entity_id").alias("target_id"), "pos", F.col("vec").alias("t"), F.pmod(F.xxhash64("entity_id"), F.lit(parts)).cast("int").alias("part"))
+    scored = q.join(t, ["country", "part"]).select("s1_id", "part", "target_id", "pos", F.round(inner(F.col("q"), F.col("t")), 6).alias("score"))
+    order = [F.desc("score"), F.asc("pos")]
+    best = scored.withColumn("place", F.row_number().over(W.partitionBy("s1_id", "part").orderBy(*order))).filter(F.col("place") <= top)
+    return ranked(best.drop("place", "part"), order, top).drop("pos")
 
 
 def coarse_cells(targets: DataFrame, cells: int, train: int = TRAIN, seed: int = 42) -> list[list[float]]:
@@ -68,10 +91,25 @@ def coarse_cells(targets: DataFrame, cells: int, train: int = TRAIN, seed: int =
 
 
 def nearest_cells(vec: Column, centroids: list[list[float]], n: int) -> Column:
-    """The numbers of the n centroids with the largest inner products."""
-    table = F.array(*(F.array(*map(F.lit, c)) for c in centroids))
-    scored = F.transform(table, lambda c, i: F.struct((-inner(vec, c)).alias("d"), i.alias("i")))
-    return F.transform(F.slice(F.array_sort(scored), 1, n), lambda x: x["i"])
+    """The numbers of the n centroids with the largest inner products, best first.
+
+    Centroids go to the executors as one broadcast, not into the plan. A null vector has none.
+    """
+    shared = SparkSession.active().sparkContext.broadcast(np.asarray(centroids, np.float64))
+
+    @F.pandas_udf("array<int>")
+    def nearest(vecs: pd.Series) -> pd.Series:
+        out: list = [None] * len(vecs)
+        there = np.flatnonzero(vecs.notna().to_numpy())
+        for at in range(0, len(there), 4096):
+            rows = there[at : at + 4096]
+            scores = np.stack(vecs.iloc[rows].to_list()).astype(np.float64) @ shared.value.T
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+            for i, cells in zip(rows, best.astype(np.int32), strict=True):
+                out[i] = cells
+        return pd.Series(out, dtype=object)
+
+    return nearest(vec)
 
 
 def cell_neighbours(queries: DataFrame, targets: DataFrame, top: int = EMBEDDING_TOP, cells: int | None = None, probes: int = PROBES) -> DataFrame:

@@ -47,6 +47,9 @@ def build(targets: DataFrame, path: str, cells: int, encoder: str = "hashed_gram
         mode = "append"
     else:
         centroids, mode = embedding.coarse_cells(targets, cells), "overwrite"
+        # an interrupted rebuild leaves an index without settings, which is not used
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/settings")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         spark.createDataFrame(list(enumerate(centroids)), "i int, c array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
     row.withColumn("cell", embedding.nearest_cells(F.col("vec"), centroids, 1)[0]).write.mode(mode).parquet(f"{path}/cells")
     # settings come last: an index without them is not used

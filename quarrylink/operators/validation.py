@@ -11,18 +11,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylink.sources.tables import exists
+from quarrylink.sources.tables import exists, numbered_lines, without_headers
 
 FINDINGS = "file string, severity string, rule string, n long, examples array<string>"
 MATCHING_HEADER = ("source1_entity_id", "matched_entity_ids")
 CANDIDATE_HEADER = ("source1_entity_id", "candidate_entity_ids")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``at, value``: the lines of a file with growing numbers; white space is kept."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
-
-
 def _found(offenders: DataFrame, file: str, rule: str, severity: str = "error") -> DataFrame:
     """One finding if ``offenders`` (a column ``x``) has rows. Only five distinct ones are ever gathered."""
     distinct = offenders.select("x").distinct()
@@ -63,7 +58,7 @@ def row_findings(rows: DataFrame, file: str, required: DataFrame, valid_ids: Dat
 
 
 def validate_file(spark: SparkSession, path: str, header: tuple[str, ...], required: DataFrame, valid_ids: DataFrame | None = None, label: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Findings of one file, and its rows (None where the file can't be parsed)."""
+    """Findings of one file or of a folder of parts, and its rows (None where it can't be parsed)."""
     file = label or path.rstrip("/").rsplit("/", 1)[-1]
     if not exists(spark, path):
         return _stop(spark, file, "file_not_found"), None
@@ -75,7 +70,7 @@ def validate_file(spark: SparkSession, path: str, header: tuple[str, ...], requi
         return _stop(spark, file, "comma_separated"), None
     if tuple(c.strip().lower() for c in head.rstrip("\r\n").split("\t")) != tuple(header):
         return _stop(spark, file, "unexpected_header", examples=(head,)), None
-    body = lines(spark, path).filter("at > 0")
+    body = without_headers(numbered_lines(spark, path), head)
     broken = body.filter(~F.is_valid_utf8(F.col("value")))
     malformed = body.filter((F.instr("value", "\t") == 0) & (F.regexp_replace("value", r"\s", "") != ""))
     rows = rows_of(body)

@@ -26,11 +26,17 @@ def normalize_folder(spark: SparkSession, folder: str, out: str, names: tuple[st
     return done
 
 
-def signals(anchors: DataFrame, placed: DataFrame, top: int = blocking.FINAL_TOP, semantic: str = "tfidf") -> dict[str, DataFrame]:
+def configuration() -> list[tuple[str, str]]:
+    """The settings of all plans by name, in order."""
+    own = {"blocking": blocking, "embedding": embedding, "matching": matching}
+    return sorted((f"{k}.{name.lower()}", str(value)) for k, module in own.items() for name, value in vars(module).items() if name.isupper() and isinstance(value, (int, float, dict)))
+
+
+def signals(anchors: DataFrame, placed: DataFrame, top: int = blocking.FINAL_TOP, semantic: str = "tfidf", min_similarity: float = blocking.MIN_SIMILARITY, number_top: int = blocking.NUMBER_TOP) -> dict[str, DataFrame]:
     """The three signals: names by meaning (``tfidf``, ``embedding``, ``cells`` or ``none``), name tokens, address numbers."""
-    out = {"b": blocking.token_candidates(anchors, placed, top), "c": blocking.number_candidates(anchors, placed)}
+    out = {"b": blocking.token_candidates(anchors, placed, top), "c": blocking.number_candidates(anchors, placed, number_top)}
     if semantic == "tfidf":
-        out["a"] = blocking.tfidf_candidates(anchors, placed, top)
+        out["a"] = blocking.tfidf_candidates(anchors, placed, top, min_similarity)
     elif semantic in ("embedding", "cells"):
         out["a"] = embedding.embedding_candidates(anchors, placed, top, approximate=semantic == "cells")
     elif semantic != "none":
@@ -38,10 +44,10 @@ def signals(anchors: DataFrame, placed: DataFrame, top: int = blocking.FINAL_TOP
     return out
 
 
-def candidates(anchors: DataFrame, targets: DataFrame, top: int = blocking.FINAL_TOP, semantic: str = "tfidf") -> DataFrame:
+def candidates(anchors: DataFrame, targets: DataFrame, top: int = blocking.FINAL_TOP, semantic: str = "tfidf", min_similarity: float = blocking.MIN_SIMILARITY) -> DataFrame:
     """Ranked candidate pairs of normalized anchors and targets over all countries at once."""
     placed = blocking.positions(targets)
-    return blocking.union_and_rank(anchors, signals(blocking.require_country(anchors), placed, top, semantic), top)
+    return blocking.union_and_rank(anchors, signals(blocking.require_country(anchors), placed, top, semantic, min_similarity), top)
 
 
 def link(anchors: DataFrame, targets: DataFrame, top: int = blocking.FINAL_TOP, threshold: float = matching.THRESHOLD, max_per_source: int = matching.MAX_PER_SOURCE, semantic: str = "tfidf") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylink import goldens
+from quarrylink.functions import similarity as sim
 from quarrylink.functions import text as tx
 from quarrylink.operators import blocking, embedding, evaluation, matching, profiling, validation
 from quarrylink.operators.normalize import normalized, stored_form
@@ -82,7 +84,16 @@ c2k AS (SELECT * FROM c2 QUALIFY row_number() OVER (PARTITION BY country, f ORDE
 bc AS (SELECT s1_id, target_id, CAST(n AS DOUBLE) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY n DESC, source, target_id) AS r FROM (
   SELECT b1.entity_id AS s1_id, b2k.entity_id AS target_id, source, count(*) AS n FROM b1 JOIN b2k USING (country, f) GROUP BY ALL)) WHERE r <= {{top_b}}),
 cc AS (SELECT s1_id, target_id, CAST(n AS DOUBLE) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY n DESC, source, target_id) AS r FROM (
-  SELECT c1.entity_id AS s1_id, c2k.entity_id AS target_id, source, count(*) AS n FROM c1 JOIN c2k USING (country, f) GROUP BY ALL)) WHERE r <= {{top_c}})"""
+  SELECT c1.entity_id AS s1_id, c2k.entity_id AS target_id, source, count(*) AS n FROM c1 JOIN c2k USING (country, f) GROUP BY ALL)) WHERE r <= {{top_c}}),
+g AS (SELECT source, country, entity_id, unnest(list_transform(range(1, greatest(length(w) - 2, 1) + 1), lambda i: substring(w, i, 3))) AS gram FROM (
+  SELECT source, country, entity_id, ' ' || unnest(string_split(clean_name, ' ')) || ' ' AS w FROM nz)),
+tf AS (SELECT source = 'S1' AS anchor, source, country, entity_id, gram, count(*) AS tf FROM g GROUP BY ALL),
+cn AS (SELECT country, count(*) AS n FROM nz WHERE source <> 'S1' GROUP BY 1),
+st AS (SELECT country, gram, count(*) AS df FROM tf WHERE NOT anchor GROUP BY 1, 2 HAVING count(*) >= 2),
+w AS (SELECT tf.*, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN st USING (country, gram) JOIN cn USING (country)),
+nw AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY country, entity_id)) AS x FROM w),
+sc AS (SELECT l.entity_id AS s1_id, r.entity_id AS target_id, r.source, round(sum(l.x * r.x), 9) AS score FROM nw l JOIN nw r USING (country, gram) WHERE l.anchor AND NOT r.anchor GROUP BY ALL HAVING round(sum(l.x * r.x), 9) >= 0.25),
+ac AS (SELECT s1_id, target_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, source, target_id) AS rank FROM sc QUALIFY rank <= {{top_b}})"""
 
 
 def _signals_sql(tokens=5000, numbers=2000, top_b=20, top_c=15) -> str:
@@ -90,9 +101,12 @@ def _signals_sql(tokens=5000, numbers=2000, top_b=20, top_c=15) -> str:
 
 
 _UNION = """
-u AS (SELECT s1_id, target_id, 0.0 AS a, sum(b) AS b, sum(c) AS c FROM (SELECT s1_id, target_id, score AS b, 0.0 AS c FROM bc UNION ALL SELECT s1_id, target_id, 0.0, score FROM cc) GROUP BY 1, 2),
+u AS (SELECT s1_id, target_id, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM (SELECT s1_id, target_id, score AS a, 0.0 AS b, 0.0 AS c FROM ac UNION ALL SELECT s1_id, target_id, 0.0, score, 0.0 FROM bc UNION ALL SELECT s1_id, target_id, 0.0, 0.0, score FROM cc) GROUP BY 1, 2),
 ur AS (SELECT s1_id, target_id, CAST(a AS DOUBLE) AS score_a, CAST(b AS DOUBLE) AS score_b, CAST(c AS DOUBLE) AS score_c, 1.0::DOUBLE * a + 0.35::DOUBLE * b + 0.25::DOUBLE * c AS score FROM u),
-fin AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS rank FROM ur QUALIFY rank <= 20)"""
+fin AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS rank FROM ur QUALIFY rank <= {final})"""
+_UNION, _UNION_50 = _UNION.replace("{final}", "20"), _UNION.replace("{final}", "50")
+#: Scores as both engines print them.
+_FIN = "SELECT s1_id, target_id, round(score_a, 6) AS score_a, score_b, score_c, round(score, 6) AS score, rank FROM fin"
 _TRUTH = """
 tp AS (SELECT s1.entity_id AS s1_id, tg.entity_id AS target_id FROM s1 JOIN tg USING (country, clean_name_full))"""
 
@@ -108,9 +122,43 @@ def _truth(anchors, targets):
     return left.join(targets.select(F.col("entity_id").alias("target_id"), "country", "clean_name_full"), ["country", "clean_name_full"]).select("s1_id", "target_id")
 
 
-def _two_signals(spark, sf_dir):
+def _signals(spark, sf_dir, top=blocking.FINAL_TOP, number_top=blocking.NUMBER_TOP):
     a, t = _parts(spark, sf_dir)
-    return a, t, linkage.signals(a, blocking.positions(t), semantic="none")
+    return a, t, linkage.signals(a, blocking.positions(t), top, number_top=number_top)
+
+
+# the pair score by its definition: longest common subsequences as running maxima over rows of a table
+_LCS = """coalesce(list_reduce(list_concat([list_transform(range(length({x})), lambda i: 0::BIGINT)], list_transform(string_split({y}, ''), lambda c: list_transform(string_split({x}, ''), lambda d: CASE WHEN c = d THEN 1::BIGINT ELSE 0::BIGINT END))),
+  lambda r, m: list_transform(range(1, len(r) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda i: greatest(r[i], coalesce(r[i - 1], 0) + m[i])))))[-1], 0)"""
+
+
+def _ratio_sql(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} = {y} THEN 100.0::DOUBLE WHEN {x} = '' OR {y} = '' THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * {_LCS.format(x=x, y=y)} / (length({x}) + length({y})) END)"
+
+
+def _compared_sql(name: str, source: str) -> str:
+    """A table of the distinct texts x, y of a source with ratio r, token sort srt and token set tst."""
+    joined = lambda e: f"array_to_string(list_sort({e}), ' ')"
+    toks = lambda v: f"list_filter(string_split({v}, ' '), lambda w: w <> '')"
+    return f"""{name}0 AS (SELECT DISTINCT x, y FROM {source}),
+{name}1 AS (SELECT x, y, {joined(toks("x"))} AS sx, {joined(toks("y"))} AS sy, list_distinct({toks("x")}) AS tx, list_distinct({toks("y")}) AS ty FROM {name}0),
+{name}2 AS (SELECT *, {joined("list_filter(tx, lambda w: list_contains(ty, w))")} AS i, {joined("list_filter(tx, lambda w: NOT list_contains(ty, w))")} AS d, {joined("list_filter(ty, lambda w: NOT list_contains(tx, w))")} AS e FROM {name}1),
+{name}3 AS (SELECT *, trim(i || ' ' || d) AS u, trim(i || ' ' || e) AS v FROM {name}2),
+{name} AS (SELECT x, y, {_ratio_sql("x", "y")} AS r, {_ratio_sql("sx", "sy")} AS srt, CASE WHEN len(tx) = 0 OR len(ty) = 0 THEN 0.0::DOUBLE WHEN i <> '' AND (d = '' OR e = '') THEN 100.0::DOUBLE
+  WHEN i = '' THEN {_ratio_sql("u", "v")} ELSE greatest({_ratio_sql("u", "v")}, {_ratio_sql("i", "u")}, {_ratio_sql("i", "v")}) END AS tst FROM {name}3)"""
+
+
+_NUMBERS = "list_distinct(list_filter(list_transform(regexp_extract_all({x}, '\\b[0-9]+\\b'), lambda n: ltrim(n, '0')), lambda n: n <> ''))"
+_SCORED = f"""
+rec AS (SELECT entity_id, clean_name_full AS name, clean_address AS address, {_NUMBERS.format(x="clean_name_full || ' ' || clean_address")} AS nums FROM nz),
+pr AS (SELECT s1_id, target_id, rank, l.name AS n1, r.name AS n2, l.address AS a1, r.address AS a2, l.nums AS m1, r.nums AS m2 FROM fin JOIN rec l ON l.entity_id = s1_id JOIN rec r ON r.entity_id = target_id),
+{_compared_sql("nc", "(SELECT n1 AS x, n2 AS y FROM pr)")}, {_compared_sql("adc", "(SELECT a1 AS x, a2 AS y FROM pr)")},
+pp AS (SELECT s1_id, target_id, rank, n1, n2, a1, a2, nc.tst AS nset, CASE WHEN n1 = n2 THEN 100.0::DOUBLE ELSE 0.65::DOUBLE * nc.tst + 0.35::DOUBLE * nc.srt END AS nm, 0.4::DOUBLE * adc.tst + 0.3::DOUBLE * adc.srt + 0.3::DOUBLE * adc.r AS am,
+  CASE WHEN list_has_any(m1, m2) THEN 100.0::DOUBLE WHEN len(m1) > 0 AND len(m2) > 0 THEN 10.0::DOUBLE ELSE 60.0::DOUBLE END AS nu
+  FROM pr JOIN nc ON nc.x = n1 AND nc.y = n2 JOIN adc ON adc.x = a1 AND adc.y = a2),
+scd AS (SELECT s1_id, target_id, rank, CASE WHEN n1 = '' OR n2 = '' THEN 0.0::DOUBLE ELSE least(CASE WHEN nset < 45 THEN 30.0::DOUBLE ELSE 100.0::DOUBLE END, CASE WHEN a1 <> '' AND a2 <> '' THEN 0.5::DOUBLE * nm + 0.35::DOUBLE * am + 0.15::DOUBLE * nu ELSE 0.8::DOUBLE * nm + 0.2::DOUBLE * nu END) END AS score FROM pp),
+mt AS (SELECT s1_id, target_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY source, score DESC, rank) AS rank FROM (
+  SELECT *, substring(target_id, 1, 2) AS source FROM scd WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY s1_id, substring(target_id, 1, 2) ORDER BY score DESC, rank) <= 1))"""
 
 
 # text
@@ -146,10 +194,9 @@ def tx23_plain(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", tx.plain(F.col("text")).alias("plain"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\b[0-9]+\\b'), lambda n: ltrim(n, '0')), lambda n: n <> ''))), ',') AS numbers FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(string_split(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}_]', ' ', 'g'), ' '), lambda w: regexp_full_match(w, '[0-9]+')), lambda n: ltrim(n, '0')), lambda n: n <> ''))), ',') AS numbers FROM documents")
 def tx24_number_sets(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents").filter(~tx.non_ascii(F.col("text")))
-    return d.select("doc_id", F.array_join(F.array_sort(tx.number_set(F.col("text"))), ",").alias("numbers"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(tx.number_set(F.col("text"))), ",").alias("numbers"))
 
 
 @query(f"SELECT doc_id, array_to_string({_TOKENS.format(x='text')}, ' ') AS tokens FROM documents")
@@ -180,16 +227,16 @@ def fi11_non_ascii(spark, sf_dir):
 # blocking
 
 
-@query(f"WITH {_signals_sql(tokens=6)} SELECT country, f AS feature, entity_id FROM b2k")
+@query(f"WITH {_signals_sql()} SELECT country, f AS feature, entity_id FROM b2k")
 def fi3_token_postings(spark, sf_dir):
     _, t = _parts(spark, sf_dir)
-    return blocking.token_postings(blocking.positions(t), max_postings=6).select("country", "feature", "entity_id")
+    return blocking.token_postings(blocking.positions(t)).select("country", "feature", "entity_id")
 
 
-@query(f"WITH {_signals_sql(numbers=3)} SELECT country, f AS feature, entity_id FROM c2k")
+@query(f"WITH {_signals_sql()} SELECT country, f AS feature, entity_id FROM c2k")
 def fi4_number_postings(spark, sf_dir):
     _, t = _parts(spark, sf_dir)
-    return blocking.number_postings(blocking.positions(t), max_postings=3).select("country", "feature", "entity_id")
+    return blocking.number_postings(blocking.positions(t)).select("country", "feature", "entity_id")
 
 
 @query(f"WITH {_signals_sql()} SELECT * FROM bc")
@@ -204,29 +251,21 @@ def bl12_number_candidates(spark, sf_dir):
     return blocking.number_candidates(a, blocking.positions(t))
 
 
-@query(f"""WITH {_NORMALIZED}, g AS (SELECT source, country, entity_id, unnest(list_transform(range(1, greatest(length(w) - 2, 1) + 1), lambda i: substring(w, i, 3))) AS gram FROM (
-  SELECT source, country, entity_id, ' ' || unnest(string_split(clean_name, ' ')) || ' ' AS w FROM nz)),
-tf AS (SELECT source = 'S1' AS anchor, source, country, entity_id, gram, count(*) AS tf FROM g GROUP BY ALL),
-n AS (SELECT country, count(*) AS n FROM nz WHERE source <> 'S1' GROUP BY 1),
-st AS (SELECT country, gram, count(*) AS df FROM tf WHERE NOT anchor GROUP BY 1, 2 HAVING count(*) >= 2),
-w AS (SELECT tf.*, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN st USING (country, gram) JOIN n USING (country)),
-nw AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY country, entity_id)) AS x FROM w),
-sc AS (SELECT l.entity_id AS s1_id, r.entity_id AS target_id, r.source, round(sum(l.x * r.x), 9) AS score FROM nw l JOIN nw r USING (country, gram) WHERE l.anchor AND NOT r.anchor GROUP BY ALL HAVING round(sum(l.x * r.x), 9) >= 0.25)
-SELECT s1_id, target_id, round(score, 6) AS score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, source, target_id) AS rank FROM sc QUALIFY rank <= 20""")
+@query(f"WITH {_signals_sql()} SELECT s1_id, target_id, round(score, 6) AS score, rank FROM ac")
 def bl8_tfidf_candidates(spark, sf_dir):
     a, t = _parts(spark, sf_dir)
     return blocking.tfidf_candidates(a, blocking.positions(t)).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_signals_sql()}, {_UNION} SELECT * FROM fin")
+@query(f"WITH {_signals_sql()}, {_UNION} {_FIN}")
 def bl13_union_ranked(spark, sf_dir):
-    a, _, s = _two_signals(spark, sf_dir)
-    return blocking.union_and_rank(a, s)
+    a, _, s = _signals(spark, sf_dir)
+    return blocking.union_and_rank(a, s).withColumns({c: F.round(c, 6) for c in ("score_a", "score")})
 
 
 @query(f"WITH {_signals_sql()}, {_UNION} SELECT entity_id AS source1_entity_id, coalesce(string_agg(target_id, ',' ORDER BY rank), '') AS candidate_entity_ids FROM s1 LEFT JOIN fin ON s1_id = entity_id GROUP BY 1")
 def sk3_candidate_lists(spark, sf_dir):
-    a, _, s = _two_signals(spark, sf_dir)
+    a, _, s = _signals(spark, sf_dir)
     return tables.id_lists(blocking.union_and_rank(a, s), a)
 
 
@@ -234,13 +273,16 @@ _VECTORS = "(SELECT vec_id, label, list_transform(embedding, lambda x: CAST(CAST
 
 
 def _vectors(spark, sf_dir):
-    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("country"), embedding.unit(F.col("embedding")).alias("vec"))
-    return e.filter("entity_id % 5 = 0"), e.filter("entity_id % 5 <> 0").withColumn("pos", F.col("entity_id"))
+    """Every 50th vector as a query, all vectors as targets, whatever their labels."""
+    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id"), F.lit("any").alias("country"), embedding.unit(F.col("embedding")).alias("vec"))
+    return e.filter("entity_id % 50 = 0"), e.withColumn("pos", F.col("entity_id"))
+
+
+_NEAREST = f"""WITH e AS {_VECTORS}, s AS (SELECT q.vec_id AS s1_id, t.vec_id AS target_id, round(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(t.v AS DOUBLE[])), 6) AS score FROM e q CROSS JOIN e t WHERE q.vec_id % 50 = 0),
+nn AS (SELECT s1_id, target_id, round(score, 4) AS score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS rank FROM s QUALIFY rank <= 20)"""
 
 
-@query(f"""WITH e AS {_VECTORS}, s AS (SELECT q.vec_id AS s1_id, t.vec_id AS target_id, round(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(t.v AS DOUBLE[])), 6) AS score
-  FROM e q JOIN e t USING (label) WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0)
-SELECT s1_id, target_id, round(score, 4) AS score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS rank FROM s QUALIFY rank <= 20""")
+@query(f"{_NEAREST} SELECT * FROM nn")
 def tk1_exact_neighbours(spark, sf_dir):
     q, t = _vectors(spark, sf_dir)
     return embedding.exact_neighbours(q, t).withColumn("score", F.round("score", 4))
@@ -249,14 +291,26 @@ def tk1_exact_neighbours(spark, sf_dir):
 @query()
 def bl5_cell_neighbours(spark, sf_dir):
     q, t = _vectors(spark, sf_dir)
-    return embedding.cell_neighbours(q, t, cells=16, probes=8)
+    return embedding.cell_neighbours(q, t, cells=RECALL_CELLS, probes=RECALL_PROBES)
+
+
+#: Cells and cells looked into where recall is measured.
+RECALL_CELLS, RECALL_PROBES = 16, 12
+
+
+@query(f"{_NEAREST} SELECT count(DISTINCT s1_id) AS queries, count(*) AS wanted, true AS recall_of_90_percent FROM nn")
+def jn4_cell_recall(spark, sf_dir):
+    q, t = _vectors(spark, sf_dir)
+    exact = embedding.exact_neighbours(q, t).select("s1_id", "target_id")
+    found = embedding.cell_neighbours(q, t, cells=RECALL_CELLS, probes=RECALL_PROBES).select("s1_id", "target_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["s1_id", "target_id"], "left")
+    return both.agg(F.countDistinct("s1_id").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_of_90_percent"))
 
 
 @query()
 def bl7_embedding_candidates(spark, sf_dir):
     a, t = _parts(spark, sf_dir)
-    names = lambda df: df.select("country", "clean_name").distinct().withColumn("entity_id", F.concat_ws("|", "country", "clean_name"))
-    return embedding.embedding_candidates(names(a), blocking.positions(names(t), ("entity_id",)), 5)
+    return embedding.embedding_candidates(a, blocking.positions(t))
 
 
 @query(f"""WITH s1 AS (SELECT 'S1-' || c_custkey AS entity_id, n_name AS country, {_address_sql('c_name')} AS ad FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -276,35 +330,38 @@ def ag17_countries(spark, sf_dir):
 # matching
 
 
-@query()
+@query(f"WITH {_signals_sql()}, {_UNION}, {_SCORED} SELECT s1_id, target_id, rank, round(score, 6) AS score FROM scd")
 def m2_pair_scores(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
+    a, t, s = _signals(spark, sf_dir)
     records = tables.flat_records(a.unionByName(t))
     return matching.scored_pairs(blocking.union_and_rank(a, s).select("s1_id", "target_id", "rank"), records).withColumn("score", F.round("score", 6))
 
 
-@query()
+_MATCHES = f"WITH {_signals_sql()}, {_UNION}, {_SCORED} SELECT s1_id, target_id, round(score, 6) AS score, rank FROM mt"
+
+
+@query(_MATCHES)
 def m3_matches(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
+    a, t, s = _signals(spark, sf_dir)
     records = tables.flat_records(a.unionByName(t))
     return matching.matches(blocking.union_and_rank(a, s).select("s1_id", "target_id", "rank"), records).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"WITH {_signals_sql()}, {_UNION}, {_SCORED} SELECT entity_id AS source1_entity_id, coalesce(string_agg(target_id, ',' ORDER BY rank), '') AS matched_entity_ids FROM s1 LEFT JOIN mt ON s1_id = entity_id GROUP BY 1")
 def sk4_match_lists(spark, sf_dir):
     a, _ = _parts(spark, sf_dir)
     return tables.id_lists(m3_matches(spark, sf_dir), a, "matched_entity_ids")
 
 
-@query()
+@query(_MATCHES)
 def e2_link(spark, sf_dir):
     r = views.part_records(spark, sf_dir)
-    return linkage.link(r.filter("source = 'S1'"), r.filter("source <> 'S1'"), semantic="none").withColumn("score", F.round("score", 6))
+    return linkage.link(r.filter("source = 'S1'"), r.filter("source <> 'S1'")).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_signals_sql()}, {_UNION} SELECT entity_id, 'missing' AS finding FROM s1 WHERE entity_id NOT IN (SELECT s1_id FROM fin WHERE score_b >= 4)")
 def ck1_coverage(spark, sf_dir):
-    a, _, s = _two_signals(spark, sf_dir)
+    a, _, s = _signals(spark, sf_dir)
     results = blocking.union_and_rank(a, s).filter("score_b >= 4").select(F.col("s1_id").alias("source1_entity_id"))
     return matching.coverage(results.distinct(), a)
 
@@ -314,25 +371,26 @@ def ck1_coverage(spark, sf_dir):
 
 @query(f"WITH {_signals_sql()}, {_UNION}, {_TRUTH} SELECT count(*) AS total_true_matches, count(f.s1_id) AS found_true_matches, CASE WHEN count(*) > 0 THEN count(f.s1_id) / count(*) ELSE 0 END AS candidate_recall FROM tp LEFT JOIN fin f USING (s1_id, target_id)")
 def ev1_recall(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
+    a, t, s = _signals(spark, sf_dir)
     return evaluation.candidate_recall(blocking.union_and_rank(a, s), _truth(a, t))
 
 
-@query(f"""WITH {_signals_sql()}, {_UNION}, {_TRUTH}, ks AS (SELECT unnest([5, 10, 15, 20, 30, 50]) AS k), n AS (SELECT (SELECT count(*) FROM s1) AS n1, (SELECT count(*) FROM tg) AS n2, (SELECT count(*) FROM tp) AS tt)
+@query(f"""WITH {_signals_sql(top_b=50, top_c=20)}, {_UNION_50}, {_TRUTH}, ks AS (SELECT unnest([5, 10, 15, 20, 30, 50]) AS k), n AS (SELECT (SELECT count(*) FROM s1) AS n1, (SELECT count(*) FROM tg) AS n2, (SELECT count(*) FROM tp) AS tt)
 SELECT CAST(k AS INTEGER) AS k, pairs, found AS found_true_matches, tt AS total_true_matches, CASE WHEN tt > 0 THEN found / tt ELSE 0 END AS candidate_recall, round(pairs / n1, 6) AS candidates_per_anchor, round(1 - pairs / (CAST(n1 AS DOUBLE) * n2), 9) AS reduction_ratio
 FROM (SELECT k, (SELECT count(*) FROM fin WHERE rank <= k) AS pairs, (SELECT count(*) FROM fin JOIN tp USING (s1_id, target_id) WHERE rank <= k) AS found FROM ks) CROSS JOIN n""")
 def ev4_sweep(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
-    return evaluation.sweep(blocking.union_and_rank(a, s), _truth(a, t), a.count(), t.count())
+    most = max(evaluation.SWEEP)
+    a, t, s = _signals(spark, sf_dir, most, 20)
+    return evaluation.sweep(blocking.union_and_rank(a, s, most), _truth(a, t), a.count(), t.count())
 
 
 def _alone(k, src, weight):
     return f"SELECT '{k}' AS signal, count(*) AS total_true_matches, count(f.s1_id) AS found_true_matches, CASE WHEN count(*) > 0 THEN count(f.s1_id) / count(*) ELSE 0 END AS candidate_recall FROM tp LEFT JOIN (SELECT s1_id, target_id FROM {src} QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) <= 20) f USING (s1_id, target_id)"
 
 
-@query(f"WITH {_signals_sql()}, {_TRUTH} {_alone('b', 'bc', 0.35)} UNION ALL {_alone('c', 'cc', 0.25)}")
+@query(f"WITH {_signals_sql()}, {_TRUTH} {_alone('a', 'ac', 1.0)} UNION ALL {_alone('b', 'bc', 0.35)} UNION ALL {_alone('c', 'cc', 0.25)}")
 def ev5_ablation(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
+    a, t, s = _signals(spark, sf_dir)
     return evaluation.ablation(a, s, _truth(a, t))
 
 
@@ -340,13 +398,13 @@ def ev5_ablation(spark, sf_dir):
 x AS (SELECT entity_id, (SELECT count(*) FROM pr WHERE s1_id = entity_id) AS p, (SELECT count(*) FROM tp WHERE s1_id = entity_id) AS t, (SELECT count(*) FROM pr JOIN tp USING (s1_id, target_id) WHERE s1_id = entity_id) AS h FROM s1)
 SELECT count(*) AS n_anchors, round(avg(CASE WHEN t = 0 THEN CASE WHEN p = 0 THEN 1 ELSE 0 END WHEN h = 0 THEN 0 ELSE 1.25 * (h / p) * (h / t) / (0.25 * (h / p) + h / t) END), 9) AS macro_f FROM x""")
 def ev6_macro_f(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
+    a, t, s = _signals(spark, sf_dir)
     return evaluation.macro_f(blocking.union_and_rank(a, s).filter("rank <= 2"), _truth(a, t), a)
 
 
 @query(f"WITH {_signals_sql()}, {_UNION}, n AS (SELECT entity_id, (SELECT count(*) FROM fin WHERE s1_id = entity_id AND score_c > 0) AS n FROM s1) SELECT count(*) AS anchors, sum(n)::BIGINT AS pairs, round(sum(n) / count(*), 6) AS pairs_per_anchor, count(*) FILTER (n = 0) AS without FROM n")
 def ag8_totals(spark, sf_dir):
-    a, _, s = _two_signals(spark, sf_dir)
+    a, _, s = _signals(spark, sf_dir)
     return evaluation.totals(blocking.union_and_rank(a, s).filter("score_c > 0"), a)
 
 
@@ -358,17 +416,17 @@ f AS (SELECT 'self_match' AS rule, id AS x FROM ids WHERE id LIKE 'S1-%' UNION S
   UNION SELECT 'unknown_id', id FROM ids WHERE id LIKE 'S3-%')
 SELECT 'rows' AS file, 'error' AS severity, rule, count(*) AS n, array_to_string(list_sort(list(x))[1:5], ',') AS examples FROM f GROUP BY rule""")
 def va1_row_findings(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
+    a, t, s = _signals(spark, sf_dir)
     fin = blocking.union_and_rank(a, s).filter("rank <= 3")
     rows = fin.withColumn("target_id", F.when(F.col("rank") == 3, F.replace("target_id", F.lit("S3-"), F.lit("S1-"))).otherwise(F.col("target_id"))).groupBy(F.col("s1_id").alias("s1")).agg(F.collect_list("target_id").alias("ids"))
     valid = t.filter("source = 'S2'").select(F.col("entity_id").alias("id"))
-    found = validation.row_findings(rows, "rows", a, valid).filter("rule <> 'duplicate_id_in_list'")
+    found = validation.row_findings(rows, "rows", a, valid)
     return found.withColumn("examples", F.array_join("examples", ","))
 
 
 @query(f"WITH {_signals_sql()}, x AS (SELECT DISTINCT s1_id FROM (SELECT s1_id, target_id FROM cc ANTI JOIN bc USING (s1_id, target_id))) SELECT 'matching' AS file, 'warning' AS severity, 'match_not_candidate' AS rule, count(*) AS n, array_to_string(list_sort(list(s1_id))[1:5], ',') AS examples FROM x HAVING count(*) > 0")
 def jn12_not_candidates(spark, sf_dir):
-    a, t, s = _two_signals(spark, sf_dir)
+    a, t, s = _signals(spark, sf_dir)
     rows = lambda df: df.groupBy(F.col("s1_id").alias("s1")).agg(F.collect_list("target_id").alias("ids"))
     return validation.not_candidates(rows(s["c"]), rows(s["b"])).withColumn("examples", F.array_join("examples", ","))
 
@@ -459,3 +517,73 @@ def sc10_flat_records(spark, sf_dir):
 @query("SELECT 'S1-' || o_custkey AS s1_id, (CASE WHEN o_orderkey % 2 = 0 THEN 'S2-' ELSE 'S3-' END) || o_orderkey AS target_id FROM orders")
 def sc11_truth_pairs(spark, sf_dir):
     return tables.truth_pairs(_order_truth(spark, sf_dir))
+
+
+# cases written out
+
+
+def _cases(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+@query(goldens.values([(i, *r[3:]) for i, r in enumerate(goldens.RECORDS)], "n, clean_name, clean_name_full, clean_address, address_numbers, has_address, country"))
+def tx21_written_records(spark, sf_dir):
+    df = _cases(spark, [(str(i), *r[:3]) for i, r in enumerate(goldens.RECORDS)], "entity_id string, business_name string, business_address string, country string")
+    return stored_form(normalized(df)).select(F.col("entity_id").cast("int").alias("n"), "clean_name", "clean_name_full", "clean_address", "address_numbers", "has_address", "country")
+
+
+@query(goldens.values([(i, r[1]) for i, r in enumerate(goldens.CORE)], "n, core"))
+def tx25_core_tokens(spark, sf_dir):
+    return _cases(spark, [(i, r[0]) for i, r in enumerate(goldens.CORE)], "n int, name string").select("n", tx.core_tokens(F.col("name")).alias("core"))
+
+
+@query(goldens.values([(i, *r[1:]) for i, r in enumerate(goldens.TEXTS)], "n, path, passage, ids"))
+def tx29_tx31_written_texts(spark, sf_dir):
+    x = F.col("x")
+    return _cases(spark, [(i, r[0]) for i, r in enumerate(goldens.TEXTS)], "n int, x string").select("n", tx.path_safe(x).alias("path"), tx.encoder_text(x, "passage").alias("passage"), F.array_join(tx.id_list(x), "|").alias("ids"))
+
+
+@query(goldens.values([(i, *r[2:]) for i, r in enumerate(goldens.SIMILARITIES)], "n, ratio, token_sort, token_set"))
+def sim_written_pairs(spark, sf_dir):
+    df = _cases(spark, [(i, *r[:2]) for i, r in enumerate(goldens.SIMILARITIES)], "n int, a string, b string")
+    a, b = F.col("a"), F.col("b")
+    return df.select("n", F.round(sim.ratio(a, b), 6).alias("ratio"), F.round(sim.token_sort_ratio(a, b), 6).alias("token_sort"), F.round(sim.token_set_ratio(a, b), 6).alias("token_set"))
+
+
+@query(goldens.values([(i, r[4]) for i, r in enumerate(goldens.PAIRS)], "n, score"))
+def m2_written_pairs(spark, sf_dir):
+    rows = [(f"S{s}-{i}", r[2 * s - 2], r[2 * s - 1]) for i, r in enumerate(goldens.PAIRS) for s in (1, 2)]
+    pairs = _cases(spark, [(f"S1-{i}", f"S2-{i}", i) for i in range(len(goldens.PAIRS))] + [("S1-0", "S2-999", -1)], "s1_id string, target_id string, n int")
+    return matching.scored_pairs(pairs, _cases(spark, rows, "entity_id string, name string, address string")).select("n", F.round("score", 6).alias("score"))
+
+
+@query(goldens.values(goldens.RESULT_FINDINGS, "rule, n, examples"))
+def vr_written_rows(spark, sf_dir):
+    rows = _cases(spark, goldens.RESULT_ROWS, "s1 string, ids array<string>")
+    anchors = _cases(spark, [(f"S1-{i}",) for i in range(1, 5)], "entity_id string")
+    found = validation.row_findings(rows, "rows", anchors, _cases(spark, [("S2-1",), ("S2-2",), ("S3-1",)], "id string"))
+    return found.select("rule", "n", F.array_join("examples", ",").alias("examples"))
+
+
+@query(goldens.values([("S1-1", 1, "S2-9"), ("S1-1", 2, "S3-2"), ("S1-2", 1, "")], "s1, place, target"))
+def tk5_written_matches(spark, sf_dir):
+    scored = _cases(spark, [("S1-1", "S2-9", 90.0, 1), ("S1-1", "S2-1", 90.0, 2), ("S1-1", "S3-1", 85.0, 3), ("S1-1", "S3-2", 95.0, 4), ("S1-1", "S2x", 99.0, 5)], "s1_id string, target_id string, score double, rank int")
+    lists = matching.with_all_anchors(matching.best_matches(scored), _cases(spark, [("S1-1",), ("S1-2",)], "entity_id string"))
+    return lists.select(F.col("source1_entity_id").alias("s1"), F.posexplode(F.split("matched_entity_ids", ",")).alias("place", "target")).withColumn("place", F.col("place") + 1)
+
+
+@query("SELECT * FROM (VALUES ('blocking.final_top', '20'), ('blocking.min_similarity', '0.25'), ('blocking.number_postings', '2000'), ('blocking.number_top', '15'), ('blocking.token_postings', '5000'), ('blocking.token_top', '20'), ('matching.max_per_source', '1'), ('matching.threshold', '80.0')) t(name, value)")
+def cf1_configuration(spark, sf_dir):
+    return _cases(spark, linkage.configuration(), "name string, value string").filter("name like 'matching.%' or name like 'blocking.%' and name not in ('blocking.weights', 'blocking.embedding_top')")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders")
+def sc4_two_columns(spark, sf_dir):
+    return views.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+
+
+@query(f"WITH {_signals_sql()}, {_UNION} SELECT entity_id FROM s1 WHERE entity_id NOT IN (SELECT s1_id FROM fin WHERE score_a > 0.999)")
+def tk7_missing_anchors(spark, sf_dir):
+    a, _, s = _signals(spark, sf_dir)
+    results = blocking.union_and_rank(a, s).filter("score_a > 0.999").select(F.col("s1_id").alias("source1_entity_id"))
+    return matching.coverage(results.distinct(), a).filter("finding = 'missing'").select("entity_id").orderBy("entity_id")

@@ -20,12 +20,14 @@ CANDIDATES = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_e
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
     """A tab-separated table with a header, all columns text and none missing.
 
-    Without a schema the header names the columns. ``"`` quotes, doubled within.
+    Without a schema the header names the columns. ``"`` quotes, doubled within. A row is a
+    line, so that a large file is read by many tasks; only with ``multi_line``, one task a
+    file, may quoted fields hold line feeds.
     """
-    reader = spark.read.options(sep="\t", header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
+    reader = spark.read.options(sep="\t", header=True, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8")
     df = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=False)
     return df.na.fill("")
 
@@ -57,19 +59,32 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.endswith(".parquet") else read_tsv(spark, path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, at, value``: the lines of a file or of a folder of parts; ``at`` grows within a file's block."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    return lines.select(F.col("file_path").alias("file"), F.col("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def without_headers(lines: DataFrame, header: str | None = None) -> DataFrame:
+    """Numbered lines without the first line of each file; with a ``header`` only where it is that line."""
+    first = lines.filter("block = 0").groupBy("file").agg(F.min("at").alias("at"))
+    rest = lines.join(first.withColumn("is_first", F.lit(True)), ["file", "at"], "left")
+    head = F.coalesce("is_first", F.lit(False))
+    return rest.filter(~(head if header is None else head & (F.col("value") == header))).select("file", "block", "at", "value")
+
+
 def read_lists(spark: SparkSession, path: str, id_col: str = "source1_entity_id") -> DataFrame:
-    """``id_col, ids``: an id-list file read line by line, without quoting; blank lines are skipped."""
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("at"))
+    """``id_col, ids``: an id-list file, or a folder of parts, read line by line, without quoting; blank lines are skipped."""
     header = spark.read.text(path).first()
-    head = header["value"] if header else ""
+    lines = without_headers(numbered_lines(spark, path), header["value"] if header else "")
     parts = F.split(F.trim("value"), "\t")
-    return lines.filter((F.trim("value") != "") & ~((F.col("at") == 0) & (F.col("value") == head))).select(F.trim(parts[0]).alias(id_col), tx.id_list(F.get(parts, F.lit(1))).alias("ids"))
+    return lines.filter(F.trim("value") != "").select(F.trim(parts[0]).alias(id_col), tx.id_list(F.get(parts, F.lit(1))).alias("ids"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """``id``: the distinct first columns of a file after its header."""
-    lines = spark.read.option("header", False).text(path).withColumn("at", F.monotonically_increasing_id())
-    return lines.filter((F.col("at") > 0) & (F.trim("value") != "")).select(F.trim(F.split("value", "\t")[0]).alias("id")).distinct()
+    """``id``: the distinct first columns of a file, or of a folder of parts, after each header."""
+    lines = without_headers(numbered_lines(spark, path))
+    return lines.filter(F.trim("value") != "").select(F.trim(F.split("value", "\t")[0]).alias("id")).distinct()
 
 
 def flat_records(df: DataFrame, ordinal: str | None = None) -> DataFrame:
@@ -108,6 +123,19 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(sep="\t", header=True, emptyValue="", nullValue="", quote="").csv(path)
 
 
+def write_tsv_file(df: DataFrame, path: str) -> None:
+    """The same as one file that appears whole: written beside its place by one task, then renamed."""
+    spark = df.sparkSession
+    made = f"{path}.parts"
+    write_tsv(df.coalesce(1), made)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    store = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in store.listStatus(fs_path(made)) if f.getPath().getName().startswith("part-"))
+    store.delete(fs_path(path), True)
+    store.rename(part, fs_path(path))
+    store.delete(fs_path(made), True)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     """Write a table in one job."""
     df.write.mode("overwrite").parquet(path)

@@ -122,6 +122,30 @@ def test_stored_index(spark, tmp_path):
     found = {(r["s1_id"], r["target_id"]) for r in index.search(q, path, 3, probes=4).collect()}
     assert found == {(r["s1_id"], r["target_id"]) for r in embedding.exact_neighbours(q, t, 3).collect()}
     assert index.build(t, path, 2).count() == 32 and index.read_settings(spark, path)["cells"] == 2
+    # a rebuild that stops half way leaves no index that is taken for whole
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(embedding, "nearest_cells", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.build(t, path, 4)
+    assert index.read_settings(spark, path) is None
+
+
+def test_normalize_folder(spark, tmp_path):
+    d = str(tmp_path)
+    with open(f"{d}/train_source1.tsv", "w") as f:
+        f.write("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tAcme Private Limited\t012 Main Street\tUS\nS1-2\t\t\t\n")
+    assert cli.main(["normalize", "--input-dir", d, "--output-dir", f"{d}/out"]) == 0
+    rows = {r["entity_id"]: r for r in spark.read.parquet(f"{d}/out/train_source1_normalized.parquet").collect()}
+    assert rows["S1-1"]["clean_name_full"] == "acme pvt ltd" and rows["S1-1"]["address_numbers"] == "12" and rows["S1-2"]["has_address"] == 0
+    assert cli.main(["config"]) == 0
+
+
+def test_batch_encoder(spark):
+    import numpy as np
+
+    seen = embedding.encoded_in_batches(spark.createDataFrame([("ab",), (None,), ("abcd",)], "clean_name string"), lambda xs: np.array([[len(x), 3.0] for x in xs]), role="query", batch=2)
+    got = [r["vec"] for r in seen.orderBy("clean_name").collect()]
+    assert [round(v[0] / v[1] * 3) for v in got] == [7, 9, 11]
 
 
 def test_f_score(spark):
@@ -144,17 +168,31 @@ def test_files_and_validator(spark, tmp_path):
     assert got[0]["business_name"] == 'Ram "R" Foods' and got[1]["business_address"] == "" and got[2]["business_name"] == "NA"
     assert tables.missing_as_null(tables.read_tsv(spark, f"{d}/test_source1.tsv")).filter("business_name is null").count() == 1
     assert tables.find_source(spark, d, "nothing") is None
-    assert cli.main(["candidates", "--test-dir", d, "--output", f"{d}/c", "--k", "5"]) == 0
-    assert cli.main(["match", "--test-dir", d, "--candidates", f"{d}/c", "--output", f"{d}/m"]) == 0
-    for k in "cm":
-        parts = [f for f in sorted(os.listdir(f"{d}/{k}")) if f.endswith(".csv")]
-        text = [open(f"{d}/{k}/{f}").read().splitlines() for f in parts]
-        with open(f"{d}/{k}.tsv", "w") as f:
-            f.write(text[0][0] + "\n" + "".join(x + "\n" for t in text for x in t[1:]))
+    # as one file each, and as folders of parts
+    for parts, end in (([], ".tsv"), (["--parts"], "")):
+        assert cli.main(["candidates", "--test-dir", d, "--output", f"{d}/c{end}", "--k", "5", "--min-sim", "0.25", *parts]) == 0
+        assert cli.main(["match", "--test-dir", d, "--candidates", f"{d}/c{end}", "--output", f"{d}/m{end}", *parts]) == 0
+    assert os.path.isfile(f"{d}/m.tsv") and os.path.isdir(f"{d}/m") and not os.path.exists(f"{d}/m.tsv.parts")
+    order = lambda name: [x.split("\t")[0] for x in open(f"{d}/{name}.tsv").read().splitlines()]
+    assert order("m") == order("c")
     lists = {r[0]: r[1] for r in tables.read_lists(spark, f"{d}/m.tsv").collect()}
     assert lists == {"S1-1": ["S2-1", "S3-1"], "S1-2": ["S2-2"], "S1-3": []}
     assert cli.main(["validate", "--matching", f"{d}/m.tsv", "--candidate", f"{d}/c.tsv", "--test-dir", d, "--check-ids"]) == 0
     anchors = tables.read_tsv(spark, f"{d}/test_source1.tsv")
+    # the header of each part is no row
+    for k, col in (("c", "candidate_entity_ids"), ("m", "matched_entity_ids")):
+        os.makedirs(f"{d}/{k}3")
+        rows = open(f"{d}/{k}.tsv").read().splitlines()
+        for i, row in enumerate(rows[1:]):
+            with open(f"{d}/{k}3/part-{i}.csv", "w") as f:
+                f.write(f"source1_entity_id\t{col}\n{row}\n")
+    assert sorted(r[0] for r in tables.read_lists(spark, f"{d}/c3").collect()) == ["S1-1", "S1-2", "S1-3"] == sorted(r["id"] for r in tables.read_ids(spark, f"{d}/m3").collect())
+    assert cli.main(["match", "--test-dir", d, "--candidates", f"{d}/c3", "--output", f"{d}/m4.tsv"]) == 0 and order("m4")[0] == "source1_entity_id" and sorted(order("m4")[1:]) == ["S1-1", "S1-2", "S1-3"]
+    assert validation.validate(spark, f"{d}/m3", f"{d}/c3", anchors, check_ids=False).filter("severity = 'error'").count() == 0
+    # a header anywhere else is a row
+    with open(f"{d}/twice.tsv", "w") as f:
+        f.write("source1_entity_id\tmatched_entity_ids\nS1-1\t\nsource1_entity_id\tmatched_entity_ids\nS1-2\t\nS1-3\t\n")
+    assert {r["rule"] for r in validation.validate_file(spark, f"{d}/twice.tsv", validation.MATCHING_HEADER, anchors)[0].collect()} == {"unexpected_anchor", "wrong_prefix"}
 
     def rules(body, header="source1_entity_id\tmatched_entity_ids\n", ids=None):
         with open(f"{d}/bad.tsv", "wb") as f:
