@@ -109,14 +109,15 @@ def nearest_cells(vec: Column, centroids: list[list[float]], n: int) -> Column:
                 out[i] = cells
         return pd.Series(out, dtype=object)
 
-    return nearest(vec)
+    # not to be moved into conditions that the planner infers, where Python can't run
+    return nearest.asNondeterministic()(vec)
 
 
 def cell_neighbours(queries: DataFrame, targets: DataFrame, top: int = EMBEDDING_TOP, cells: int | None = None, probes: int = PROBES) -> DataFrame:
     """As ``exact_neighbours``, but each query meets only targets of its nearest cells."""
     cells = cells or max(1, targets.count() // CELL_TARGETS)
     centroids = coarse_cells(targets, cells)
-    q = queries.withColumn("cell", F.explode(nearest_cells(F.col("vec"), centroids, min(probes, cells))))
+    q = queries.withColumn("cells", nearest_cells(F.col("vec"), centroids, min(probes, cells))).withColumn("cell", F.explode("cells"))
     t = targets.withColumn("cell", nearest_cells(F.col("vec"), centroids, 1)[0])
     pairs = q.select("country", "cell", F.col("entity_id").alias("s1_id"), F.col("vec").alias("q")).join(t.select("country", "cell", F.col("entity_id").alias("target_id"), "pos", F.col("vec").alias("t")), ["country", "cell"])
     scored = pairs.select("s1_id", "target_id", "pos", F.round(inner(F.col("q"), F.col("t")), 6).alias("score"))

@@ -61,7 +61,7 @@ def search(queries: DataFrame, path: str, top: int = EMBEDDING_TOP, probes: int
     """``s1_id, target_id, score, rank``: neighbours among the targets of each query's nearest cells."""
     spark = queries.sparkSession
     centroids = [r["c"] for r in spark.read.parquet(f"{path}/centroids").orderBy("i").collect()]
-    q = queries.withColumn("cell", F.explode(embedding.nearest_cells(F.col("vec"), centroids, min(probes, len(centroids)))))
+    q = queries.withColumn("cells", embedding.nearest_cells(F.col("vec"), centroids, min(probes, len(centroids)))).withColumn("cell", F.explode("cells"))
     pairs = q.select("country", "cell", F.col("entity_id").alias("s1_id"), F.col("vec").alias("q")).join(spark.read.parquet(f"{path}/cells").select("country", "cell", F.col("entity_id").alias("target_id"), "pos", F.col("vec").alias("t")), ["country", "cell"])
     scored = pairs.select("s1_id", "target_id", "pos", F.round(embedding.inner(F.col("q"), F.col("t")), 6).alias("score"))
     return ranked(scored, [F.desc("score"), F.asc("pos")], top).drop("pos")
