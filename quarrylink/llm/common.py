@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions without the setting, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -27,8 +31,10 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quarrylink-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # a running session does not let this setting be changed
+        app = spark.sparkContext.applicationId
+        found = _LOCAL.get(app) or tempfile.mkdtemp(prefix="quarrylink-")
+        _LOCAL[app] = found
     return found.rstrip("/")
 
 
