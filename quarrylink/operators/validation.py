@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylink.sources.tables import exists, numbered_lines, without_headers
@@ -38,23 +39,27 @@ def rows_of(body: DataFrame) -> DataFrame:
 
 
 def row_findings(rows: DataFrame, file: str, required: DataFrame, valid_ids: DataFrame | None = None) -> DataFrame:
-    """Findings on parsed rows (``s1, ids``): repeats, wrong ids, missing and unexpected anchors."""
-    need = required.select(F.col("entity_id").alias("x")).distinct()
-    seen = rows.select(F.col("s1").alias("x"))
-    each = rows.select(F.explode("ids").alias("x"))
-    own = each.filter(F.col("x").startswith("S1-"))
-    wrong = each.filter(~F.col("x").rlike("^S[123]-"))
-    out = [
-        _found(seen.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1"), file, "duplicate_row"),
-        _found(rows.filter(F.size("ids") != F.size(F.array_distinct("ids"))).select(F.col("s1").alias("x")), file, "duplicate_id_in_list"),
-        _found(own, file, "self_match"),
-        _found(wrong, file, "wrong_prefix"),
-        _found(need.join(seen, "x", "left_anti"), file, "missing_anchor"),
-        _found(seen.join(need, "x", "left_anti"), file, "unexpected_anchor"),
-    ]
+    """Findings on parsed rows (``s1, ids``): repeats, wrong ids, missing and unexpected anchors.
+
+    All rules are told in one pass over the anchors and one over the distinct ids, so ``rows``
+    is planned and read twice, however many rules there are.
+    """
+    when = lambda rule, found: F.when(found, F.lit(rule))
+    need = required.select(F.col("entity_id").alias("x")).distinct().withColumn("needed", F.lit(True))
+    seen = rows.groupBy(F.col("s1").alias("x")).agg(F.count("*").alias("c"), F.max(F.size("ids") != F.size(F.array_distinct("ids"))).alias("repeats"))
+    own = [when("duplicate_row", F.col("c") > 1), when("duplicate_id_in_list", F.col("repeats")), when("missing_anchor", F.col("c").isNull()), when("unexpected_anchor", F.col("needed").isNull())]
+    each = rows.select(F.explode("ids").alias("x")).distinct()
+    ids = [when("self_match", F.col("x").startswith("S1-")), when("wrong_prefix", ~F.col("x").rlike("^S[123]-"))]
     if valid_ids is not None:
-        out.append(_found(each.filter(F.col("x").rlike("^S[23]-")).join(valid_ids.select(F.col("id").alias("x")), "x", "left_anti"), file, "unknown_id"))
-    return reduce(DataFrame.unionAll, out)
+        each = each.join(valid_ids.select(F.col("id").alias("x")).distinct().withColumn("valid", F.lit(True)), "x", "left")
+        ids.append(when("unknown_id", F.col("x").rlike("^S[23]-") & F.col("valid").isNull()))
+    told = lambda df, rules: df.select("x", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    found = told(seen.join(need, "x", "full"), own).unionAll(told(each, ids))
+    # a file may lack most ids: of each rule only the five first are gathered, cut before the shuffle
+    place = F.row_number().over(W.partitionBy("rule").orderBy("x"))
+    first = found.withColumn("place", place).filter(F.col("place") <= 5).groupBy("rule").agg(F.array_sort(F.collect_list("x")).alias("examples"))
+    counts = found.groupBy("rule").agg(F.count("*").alias("n"))
+    return counts.join(first, "rule").select(F.lit(file).alias("file"), F.lit("error").alias("severity"), "rule", "n", "examples")
 
 
 def validate_file(spark: SparkSession, path: str, header: tuple[str, ...], required: DataFrame, valid_ids: DataFrame | None = None, label: str | None = None) -> tuple[DataFrame, DataFrame | None]:
