@@ -96,6 +96,52 @@ def test_posting_limits(spark):
     assert {r[0]: r[1].count("S2") for r in lists} == {"S1-1": 3, "S1-2": 0}
 
 
+def _copies(times):
+    """Records of three sources, each ``times`` times under other ids: few texts, many ties."""
+    names = ["alpha beta", "alpha gamma", "beta gamma delta", "alpha", "delta"]
+    rows = [(i, names[i % 5], f"unit {i % 4} road {i % 3}", "XY"[i % 2]) for i in range(30)]
+    return [(f"S{1 + i % 3}-{k * 30 + i:05d}", n, a, c, f"S{1 + i % 3}") for k in range(times) for i, n, a, c in rows]
+
+
+def test_copies_are_compared_once(spark):
+    """Candidates of repeated records as by all pairs, from a plan that makes no pairs of copies."""
+    rows = _copies(12)
+    n = linkage.normalized(spark.createDataFrame(rows, RECORD))
+    a, t = n.filter("source = 'S1'"), blocking.positions(n.filter("source <> 'S1'"))
+    got = {}
+    for r in blocking.token_candidates(a, t, 7, 10**6).collect():
+        got.setdefault(r["s1_id"], []).append((r["rank"], r["target_id"], r["score"]))
+    for s1, name, _, country, source in rows:
+        if source == "S1":
+            scored = [(-len(set(name.split()) & set(m.split())), src, i) for i, m, _, c, src in rows if src != "S1" and c == country]
+            best = sorted(x for x in scored if x[0])[:7]
+            assert sorted(got[s1]) == [(k + 1, i, float(-s)) for k, (s, _, i) in enumerate(best)]
+    # no more pairs of names than there are different names, however many copies
+    made = [p.select("rep", "head").count() for p in _kernel_rows(a, t)]
+    assert made and max(made) <= 10 * 10
+
+
+def _kernel_rows(a, t):
+    """The pairs that the search of names hands on."""
+    from quarrylink.operators import nearest
+
+    made, blocks = [], nearest.blocks
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(nearest, "blocks", lambda *args: made.append(blocks(*args)) or made[-1])
+        blocking.tfidf_candidates(a, t, 7)
+    return made
+
+
+def test_findings_read_rows_twice(spark):
+    rows = spark.createDataFrame([("S1-1", ["S2-1", "S2-1", "S1-4"]), ("S1-1", ["X"]), (None, ["S3-9"])], "s1 string, ids array<string>")
+    found = validation.row_findings(rows, "f", spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string"), spark.createDataFrame([("S2-1",)], "id string"))
+    assert {r["rule"]: (r["n"], r["examples"]) for r in found.collect()} == {
+        "duplicate_row": (1, ["S1-1"]), "duplicate_id_in_list": (1, ["S1-1"]), "missing_anchor": (1, ["S1-2"]), "unexpected_anchor": (1, []),
+        "self_match": (1, ["S1-4"]), "wrong_prefix": (1, ["X"]), "unknown_id": (1, ["S3-9"]),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
+
+
 def test_country_is_needed(spark):
     with pytest.raises(ValueError, match="country"):
         blocking.require_country(spark.range(1))
