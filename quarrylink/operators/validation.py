@@ -41,8 +41,8 @@ def rows_of(body: DataFrame) -> DataFrame:
 def row_findings(rows: DataFrame, file: str, required: DataFrame, valid_ids: DataFrame | None = None) -> DataFrame:
     """Findings on parsed rows (``s1, ids``): repeats, wrong ids, missing and unexpected anchors.
 
-    All rules are told in one pass over the anchors and one over the distinct ids, so ``rows``
-    is planned and read twice, however many rules there are.
+    All rules are told in one pass over the anchors and one over the distinct ids; both serve
+    the counts and the examples, so ``rows`` is planned four times, however many rules there are.
     """
     when = lambda rule, found: F.when(found, F.lit(rule))
     need = required.select(F.col("entity_id").alias("x")).distinct().withColumn("needed", F.lit(True))
