@@ -1,5 +1,9 @@
 """Near copies against brute-force Jaccard over five-word shingles."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from quarrylink.llm import nearcopies
 from quarrylink.llm.common import read
@@ -51,3 +55,50 @@ def test_near_copies_brute_force(spark):
     kept = sorted(r["doc_id"] for r in cp.keep_one_of_near_copies(spark, docs, SF).filter("doc_id is not null").collect())
     assert kept == sorted(k for k, c in want if k is not None and k == c)
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """Near fingerprints are found by pigeonhole tables and Hamming checks, and only similar sets are linked."""
+    base = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(w if j != 7 * i else f"x{i}" for j, w in enumerate(base))) for i in range(12)] + [(20, "other words than these " * 9), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = nearcopies.sketches(docs, "doc_id", "text").select("node", "n", "fp").distinct()
+    fps = {r["node"]: r["fp"] % 2**64 for r in nodes.filter("n > 0").collect()}
+    pairs = {(r["a"], r["b"]) for r in nearcopies.simhash_pairs(nodes).collect()}
+    group, close = {x: x for x in fps}, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4
+    root = lambda x: x if group[x] == x else root(group[x])
+    for a, b in pairs:
+        group[root(a)] = root(b)
+    # what tables and checks join is what brute force over all fingerprints joins
+    want = {x: x for x in fps}
+    for a in fps:
+        for b in fps:
+            if close(a, b):
+                old = want[a]
+                want = {x: want[b] if g == old else g for x, g in want.items()}
+    assert pairs and all((root(a) == root(b)) == (want[a] == want[b]) for a in fps for b in fps)
+    seen, links = [], nearcopies.simhash.links
+    monkeypatch.setattr(nearcopies.simhash, "links", lambda *a, **k: seen.append(k) or links(*a, **k))
+    got = sorted(map(tuple, nearcopies.near_copies(docs).collect()))
+    assert seen and got == sorted(_components(rows))
+
+
+def test_edits_of_one_text_are_not_compared_pair_by_pair(spark):
+    """A large group of which each member has many edits of its own: few pairs, and no link lost."""
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice((1, 2, 4, 8, 12))):
+            w[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sketch = nearcopies.sketches(docs, "doc_id", "text")
+    sets = nearcopies.sets_of(docs, "text").join(sketch.select("node", "n"), "node").withColumn("component", F.col("node"))
+    found = {(r["a"], r["b"]) for r in nearcopies.prefix_pairs(sets, 0.8).collect()}
+    of = {r["node"]: set(r["shingles"]) for r in sets.collect()}
+    nodes = sorted(of)
+    close = {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])}
+    assert close and close <= found and len(found) < 0.3 * len(nodes) * (len(nodes) - 1) / 2
+    assert sorted(map(tuple, nearcopies.near_copies(docs).collect())) == sorted(_components(rows))
