@@ -7,7 +7,7 @@ from quarrylink import queries
 from quarrylink.functions import similarity as sim
 from quarrylink.operators import blocking, embedding, evaluation, matching, profiling, validation
 from quarrylink.plans import cli, linkage
-from quarrylink.sources import tables
+from quarrylink.sources import tables, views
 
 RECORD = "entity_id string, business_name string, business_address string, country string, source string"
 
@@ -290,3 +290,10 @@ def test_streaming(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(same_rows, name):
     same_rows(queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_part_records_are_dealt_over_all_cores(spark):
+    records = views.part_records(spark, "/root/testdata/sf0.001")
+    n = records.rdd.getNumPartitions()
+    assert n >= spark.sparkContext.defaultParallelism > 1
+    assert records.count() == views.table(spark, "/root/testdata/sf0.001", "part").count()
