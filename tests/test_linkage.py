@@ -297,3 +297,16 @@ def test_part_records_are_dealt_over_all_cores(spark):
     n = records.rdd.getNumPartitions()
     assert n >= spark.sparkContext.defaultParallelism > 1
     assert records.count() == views.table(spark, "/root/testdata/sf0.001", "part").count()
+
+
+def test_signals_are_stored(spark):
+    """Each signal is computed once, so that nothing is left to do in plans over it."""
+    n = linkage.normalized(spark.createDataFrame(_copies(2), RECORD))
+    a, t = n.filter("source = 'S1'"), blocking.positions(n.filter("source <> 'S1'"))
+    made = linkage.signals(a, t, 7)
+    assert sorted(made) == ["a", "b", "c"]
+    for k, alone in (("a", blocking.tfidf_candidates(a, t, 7)), ("b", blocking.token_candidates(a, t, 7)), ("c", blocking.number_candidates(a, t, blocking.NUMBER_TOP))):
+        assert "Exchange" not in made[k]._jdf.queryExecution().executedPlan().toString()
+        assert sorted(made[k].collect()) == sorted(alone.collect())
+    with pytest.raises(ValueError, match="no such signal"):
+        linkage.signals(a, t, semantic="other")
