@@ -310,3 +310,21 @@ def test_signals_are_stored(spark):
         assert sorted(made[k].collect()) == sorted(alone.collect())
     with pytest.raises(ValueError, match="no such signal"):
         linkage.signals(a, t, semantic="other")
+
+
+def test_truth_by_key_makes_no_pairs(spark):
+    """Copies have pairs by the square of their number; figures by key equal those of all pairs, also for null keys and repeated ids."""
+    left = [(f"S1-{i}", ["x", "y", None, "z"][i % 4]) for i in range(40)] + [("S1-0", "y"), ("S1-1", "y")]
+    right = [(f"S2-{i}", ["x", "y", None][i % 3]) for i in range(60)] + [("S2-0", "y"), ("S2-1", "y")]
+    a, t = spark.createDataFrame(left, "s1_id string, key string"), spark.createDataFrame(right, "target_id string, key string")
+    pairs, keyed = a.join(t, "key").select("s1_id", "target_id"), evaluation.Keyed(a, t)
+    ranked = spark.createDataFrame([(f"S1-{i}", f"S2-{(i * 7 + k) % 60}", k) for i in range(42) for k in range(1, 30)], "s1_id string, target_id string, rank int")
+    anchors = a.select(F.col("s1_id").alias("entity_id"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(evaluation.candidate_recall(ranked, keyed)) == rows(evaluation.candidate_recall(ranked, pairs)) and pairs.count() > 300
+    assert rows(evaluation.sweep(ranked, keyed, 42, 62)) == rows(evaluation.sweep(ranked, pairs, 42, 62))
+    assert rows(evaluation.macro_f(ranked.filter("rank < 4"), keyed, anchors)) == rows(evaluation.macro_f(ranked.filter("rank < 4"), pairs, anchors))
+    none = evaluation.Keyed(a.limit(0), t)
+    assert tuple(evaluation.candidate_recall(ranked, none).first()) == (0, 0, 0.0)
+    for f in (queries.ev1_recall, queries.ev4_sweep):
+        assert "_truth" not in f.__code__.co_names
