@@ -326,5 +326,5 @@ def test_truth_by_key_makes_no_pairs(spark):
     assert rows(evaluation.macro_f(ranked.filter("rank < 4"), keyed, anchors)) == rows(evaluation.macro_f(ranked.filter("rank < 4"), pairs, anchors))
     none = evaluation.Keyed(a.limit(0), t)
     assert tuple(evaluation.candidate_recall(ranked, none).first()) == (0, 0, 0.0)
-    for f in (queries.ev1_recall, queries.ev4_sweep, queries.ev6_macro_f):
+    for f in (queries.ev1_recall, queries.ev4_sweep, queries.ev5_ablation, queries.ev6_macro_f):
         assert "_truth" not in f.__code__.co_names
