@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and quantiles.
 
-Trigrams of a bounded number of trusted documents are counted in tables sharded by the hash of
+Trigrams of trusted documents are counted in tables sharded by the hash of
 their middle word. All that a trigram or bigram needs (its count, its context's total and
 weight, the bigram below it) lies in its own shard, so the counts are shuffled once. Each
 document's n-grams are then joined to the model's tables: by a broadcast join where these are
@@ -23,8 +23,8 @@ from quarrylink.llm import hashing
 from quarrylink.llm.common import discard, fresh, read, stored, utf8
 
 ORDER = 3
-#: At most so many trusted documents of each language are fitted: those with the smallest hashes of their ids.
-MAX_TRAIN = 1500
+#: At most so many trusted documents of each language are fitted, those with the smallest hashes of their ids; None: all.
+MAX_TRAIN: int | None = None
 #: Trusted documents whose id hash falls in this share are kept from fitting, to set thresholds.
 HELD_OUT = 0.5
 QUANTILE = 0.995
@@ -206,8 +206,8 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
     """The model of ``texts``: log probabilities of n-grams (``p``) and log weights of their contexts (``gamma``).
 
     The highest order has counts, lower orders the numbers of different words before, and the
-    lowest is mixed with an even share for words never seen. The words of ``texts`` must be
-    few enough for the driver, which holds a count of each; so ``texts`` must be bounded.
+    lowest is mixed with an even share for words never seen. The distinct words of ``texts``
+    must be few enough for the driver, which holds a count of each.
     """
     spark = texts.sparkSession
     tables = stored(count_tables(texts, text), "trigram-counts")
@@ -354,11 +354,11 @@ def joined_perplexities(docs: DataFrame, model: Model, text: str = "text", n_wor
     return out.select(*docs.columns, F.coalesce(joined_n, F.lit(0.0)).cast("long").alias(n_words), F.coalesce(joined_p, F.lit(0.0)).alias(log_p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", max_train: int = MAX_TRAIN, held_out: float = HELD_OUT, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", max_train: int | None = MAX_TRAIN, held_out: float = HELD_OUT, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``docs`` plus ``n_words, perplexity, threshold, keep``.
 
-    Trusted text is that of documents labelled with quality 1. Half of it, by id hash, may
-    fit the model (at most ``max_train`` documents a language); the other half sets the
+    Trusted text is that of documents labelled with quality 1. Half of it, by id hash,
+    fits the model (all of it, or ``max_train`` documents a language); the other half sets the
     threshold of its language: ``margin`` times the ``quantile`` of its perplexities, the
     smallest step of ``STEP`` in log perplexity that so large a share does not exceed (equal
     perplexities fall on one side together). Languages without such documents, and null,
@@ -396,7 +396,7 @@ def quantiles(values: DataFrame, q: float, by: list[str]) -> DataFrame:
     return reached.groupBy(*by).agg((F.min("step") * STEP).alias("q"))
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, quality: str, max_train: int, held_out: float, quantile: float, margin: float):
+def thresholds(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, quality: str, max_train: int | None, held_out: float, quantile: float, margin: float):
     """The model; ``lang, threshold``; the threshold of all languages; the mean log probability of a trusted word.
 
     Documents of the held-out half are scored where they lie and only then joined to the
@@ -404,9 +404,10 @@ def thresholds(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang:
     """
     trusted = labels.filter(F.col(quality) == 1).select(F.col(doc_id).alias("id")).distinct()
     part = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(1000)) < int(held_out * 1000)
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("l")).join(trusted.filter(~part), "id", "left_semi")
-    chosen = _smallest(sample, max_train)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("l")).join(trusted.filter(~part), "id", "left_semi") if max_train is not None else None
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    # a join with all ids may shuffle texts: those of the other half stay out of it
+    texts = texts.filter(~part).join(trusted, "id", "left_semi") if max_train is None else texts.join(F.broadcast(_smallest(sample, max_train)), "id", "left_semi")
     texts = stored(texts, "trusted-text")
     model = fit(texts)
     discard(texts)
