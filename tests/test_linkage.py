@@ -328,3 +328,10 @@ def test_truth_by_key_makes_no_pairs(spark):
     assert tuple(evaluation.candidate_recall(ranked, none).first()) == (0, 0, 0.0)
     for f in (queries.ev1_recall, queries.ev4_sweep, queries.ev5_ablation, queries.ev6_macro_f):
         assert "_truth" not in f.__code__.co_names
+
+
+def test_match_lists_normalize_records_once(spark, monkeypatch):
+    made, parts = [], queries._parts
+    monkeypatch.setattr(queries, "_parts", lambda *a: made.append(a) or parts(*a))
+    assert queries.sk4_match_lists(spark, "/root/testdata/sf0.001").columns == ["source1_entity_id", "matched_entity_ids"]
+    assert len(made) == 1
