@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and quantiles.
 
-Trigrams of trusted documents are counted in tables sharded by the hash of
-their middle word. All that a trigram or bigram needs (its count, its context's total and
-weight, the bigram below it) lies in its own shard, so the counts are shuffled once. Each
-document's n-grams are then joined to the model's tables: by a broadcast join where these are
-below a bound of rows, or else by shuffled joins on the n-gram. A document's perplexity is
+Trigrams of trusted documents are counted in tables sharded by their middle word. All that a
+trigram or bigram needs (its count, its context's total and weight, the bigram below it) lies
+in its own shard, so the counts are shuffled once and are the model as they are. Each
+document's n-grams then meet the model: where the documents lie if it is small enough to
+broadcast, or else shard by shard, packed, in rounds. A document's perplexity is
 compared with a quantile of the perplexities of trusted documents of its language which the
 model has not seen.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,33 +33,28 @@ QUANTILE = 0.995
 MARGIN = 1.25
 #: Words of the typical log probability that each document is given, so that a few odd words prove nothing.
 PRIOR_WORDS = 20
-#: Parts of the count tables, by the hash of the middle word.
+#: Parts of the count tables, by the id of the middle word.
 SHARDS = 64
 #: Steps of log perplexity in which quantiles are told.
 STEP = 0.001
-#: Model rows that are broadcast (some 9 bytes each, and 12 in a Python worker); a larger model is joined by shuffles.
-BROADCAST_ROWS = 20_000_000
-#: What stands before a document's first word.
-_PAD = np.uint64(0x5851F42D4C957F2D)
-_TABLES = ((1, "p"), (2, "p"), (2, "gamma"), (3, "p"), (3, "gamma"))
-
-
-def _back(hashes: np.ndarray, row_at: np.ndarray, n: int) -> np.ndarray:
+#: Trigrams of a model that is broadcast (some 50 bytes each in a Python worker); a larger one meets the n-grams shard by shard.
+BROADCAST_ROWS = 1_000_000
+#: Ids of trusted documents that are broadcast; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
+#: Rounds in which texts meet a larger model, each with its share of the texts; a round's shuffle files go before the next.
+ROUNDS = 2
+#: Bytes of text whose trigrams are sorted and sent together.
+CHUNK = 4 << 20
+#: Log probabilities are summed in whole numbers of this part, so that no order of sums matters.
+_PART = 2.0**-32
+
+
+def _back(x: np.ndarray, row_at: np.ndarray, n: int, pad: int) -> np.ndarray:
     """The word n places before each word, or what stands before a document."""
-    place = np.arange(len(hashes)) - np.repeat(row_at[:-1], np.diff(row_at))
-    w = np.zeros_like(hashes)
-    w[n:] = hashes[: max(0, len(hashes) - n)]
-    return np.where(place >= n, w, _PAD)
-
-
-def _keys(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> dict[tuple[int, str], np.ndarray]:
-    """The keys of each table for the trigram that ends at each word."""
-    context = hashing.joined(first, middle)
-    return {(1, "p"): last, (2, "p"): hashing.joined(middle, last), (2, "gamma"): middle, (3, "p"): hashing.joined(context, last), (3, "gamma"): context}
-
-
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
+    place = np.arange(len(x)) - np.repeat(row_at[:-1], np.diff(row_at))
+    w = np.zeros_like(x)
+    w[n:] = x[: max(0, len(x) - n)]
+    return np.where(place >= n, w, pad)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -70,42 +66,121 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def count_tables(texts: DataFrame, text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``shard, first, middle, last, c``: trigram counts, one row of sorted arrays a shard.
+class Vocabulary:
+    """Ids of words by their hashes: a place in ``words``, then one for what stands before a document, one for all others."""
+
+    def __init__(self, words: np.ndarray):
+        self.order = np.argsort(words)
+        self.sorted, self.pad, self.other = words[self.order], len(words), len(words) + 1
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(h), self.other)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.order[at], self.other)
+
+    def trigrams(self, h: np.ndarray, row_at: np.ndarray, shards: int):
+        """``order, first, middle, last``: the trigram that ends at each word, sorted by shard, middle, first and last word."""
+        distinct, at = np.unique(h, return_inverse=True)
+        # numbers among the chunk's own words are short enough for one sort key
+        own, place = np.unique(np.append(self.ids(distinct), self.pad), return_inverse=True)
+        at = place[at]
+        first, middle = _back(at, row_at, 2, place[-1]), _back(at, row_at, 1, place[-1])
+        by_shard = np.empty(len(own), np.int64)
+        by_shard[np.lexsort((own, own % shards))] = np.arange(len(own))
+        bits = len(own).bit_length()
+        if 3 * bits < 64:
+            order = np.argsort((by_shard[middle] << (2 * bits)) | (first << bits) | at)
+        else:
+            order = np.lexsort((at, first, by_shard[middle]))
+        return order, own[first[order]], own[middle[order]], own[at[order]]
+
+
+def _pack(first: np.ndarray, middle: np.ndarray, last: np.ndarray, x: np.ndarray) -> bytes:
+    """Sorted trigrams and a number for each, by byte planes: a word is a step from the one above where all before it are equal."""
+    new_first = np.diff(middle, prepend=-1) != 0
+    new_last = new_first | (np.diff(first, prepend=-1) != 0)
+    columns = np.diff(middle, prepend=0), np.where(new_first, first, np.diff(first, prepend=0)), np.where(new_last, last, np.diff(last, prepend=0)), x
+    planes = [c.astype("<u4").view(np.uint8).reshape(-1, 4).T for c in columns]
+    return zstandard.ZstdCompressor(3).compress(np.concatenate(planes).tobytes())
+
 
-    Null and empty texts add nothing. Each task sends a distinct trigram of a few megabytes
-    of text once.
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(16, -1)
+    middle, first, last, x = (np.ascontiguousarray(planes[i : i + 4].T).reshape(-1).view("<u4").astype(np.int64) for i in range(0, 16, 4))
+    new_first = middle != 0
+    new_first[:1] = True
+    new_last = new_first | (first != 0)
+
+    def summed(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
+        total, at = np.cumsum(steps), np.flatnonzero(new)
+        return total - np.repeat((total - steps)[at], np.diff(np.append(at, len(steps))))
+
+    return [summed(first, new_first), np.cumsum(middle), summed(last, new_last), x]
+
+
+def vocabulary(texts: DataFrame, text: str = "text") -> np.ndarray:
+    """The hashes of all words of ``texts``, the most frequent first."""
+
+    def found(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for a, b in hashing.groups_of_rows(offsets, CHUNK):
+                h, n = np.unique(hashing.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    rows = texts.select(F.col(text).cast("string").alias("t")).mapInArrow(found, "h bigint, n bigint")
+    got = stored(rows.groupBy("h").agg(F.sum("n").alias("n")), "words", clean=True)
+    table = got.toArrow()
+    discard(got)
+    h, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    return h[np.lexsort((h, -n))]
+
+
+def count_tables(texts: DataFrame, words: np.ndarray, text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """``shard, n, packed``: the number of distinct trigrams of a shard, and these with their counts.
+
+    Null and empty texts add nothing. Words are places in ``words``. Each task sends a distinct
+    trigram of a few megabytes of text once, all of a shard as one packed row.
     """
+    shared = texts.sparkSession.sparkContext.broadcast(Vocabulary(words))
 
     def triples(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for a, b in hashing.groups_of_rows(offsets, 4 << 20):
+            for a, b in hashing.groups_of_rows(offsets, CHUNK):
                 h, row_at = hashing.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(h):
                     continue
-                first, middle = _back(h, row_at, 2), _back(h, row_at, 1)
-                _, at, n = np.unique(_keys(first, middle, h)[3, "p"], return_index=True, return_counts=True)
-                shard = _shard(middle[at], shards).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), *(_long(x[at]) for x in (first, middle, h)), pa.array(n.astype(np.int64))], ["shard", "first", "middle", "last", "c"])
+                _, first, middle, last = shared.value.trigrams(h, row_at, shards)
+                at = _runs(middle, first, last)
+                yield _by_shard(0, 0, shards, first[at], middle[at], last[at], np.diff(np.append(at, len(h))))
 
     def merged(key, table):
-        first, middle, last = (table.column(x).to_numpy().view(np.uint64) for x in ("first", "middle", "last"))
+        parts = zip(*(_unpack(blob.as_py()) for blob in table.column("packed")), strict=True)
+        first, middle, last, c = (np.concatenate(x) for x in parts)
         order = np.lexsort((last, first, middle))
         first, middle, last = first[order], middle[order], last[order]
         at = _runs(middle, first, last)
-        c = np.add.reduceat(table.column("c").to_numpy()[order], at)
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), x) for x in (*(_long(x[at]) for x in (first, middle, last)), pa.array(c))]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *lists], ["shard", "first", "middle", "last", "c"])
+        packed = _pack(first[at], middle[at], last[at], np.add.reduceat(c[order], at))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([packed], pa.binary())], ["shard", "n", "packed"])
+
+    rows = texts.select(F.col(text).cast("string").alias("t")).mapInArrow(triples, _BLOCKS)
+    return rows.select("shard", "packed").groupBy("shard").applyInArrow(merged, "shard int, n bigint, packed binary")
 
-    rows = texts.select(F.col(text).cast("string").alias("t")).mapInArrow(triples, "shard int, first bigint, middle bigint, last bigint, c bigint")
-    arrays = ", ".join(f"{x} array<bigint>" for x in ("first", "middle", "last", "c"))
-    return rows.groupBy("shard").applyInArrow(merged, f"shard int, {arrays}")
 
+#: Rows of trigrams: a chunk of texts, the number of its texts, the shard, the trigrams and what is said of each.
+_BLOCKS = "chunk bigint, rows int, shard int, packed binary"
 
-def _columns(batch, i: int):
-    first, middle, last = (batch.column(k)[i].values.to_numpy().view(np.uint64) for k in (1, 2, 3))
-    return first, middle, last, batch.column(4)[i].values.to_numpy()
+
+def _by_shard(chunk: int, rows: int, shards: int, first, middle, last, x, *more: tuple[int, bytes]) -> pa.RecordBatch:
+    """Trigrams that are sorted by shard as one row a shard, and ``more`` rows."""
+    shard = middle % shards
+    at = np.append(_runs(shard), len(shard))
+    made = [(int(shard[a]), _pack(first[a:b], middle[a:b], last[a:b], x[a:b])) for a, b in zip(at, at[1:], strict=False)]
+    made += more
+    n = len(made)
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([rows] * n, pa.int32()), pa.array([s for s, _ in made], pa.int32()), pa.array([p for _, p in made], pa.binary())], ["chunk", "rows", "shard", "packed"])
 
 
 def _bigrams(middle: np.ndarray, last: np.ndarray):
@@ -136,171 +211,131 @@ def _discounted(c: np.ndarray, context_at: np.ndarray, d: np.ndarray):
     return (c - off) / np.repeat(total, size), gamma, np.repeat(gamma, size)
 
 
-def _packed(keys: np.ndarray, values: np.ndarray) -> bytes:
-    """Sorted keys and their values, by byte planes: steps between keys need fewer bytes than keys."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    planes = [steps, values.astype("<f4").view(np.uint8).reshape(-1, 4).T]
-    return zstandard.ZstdCompressor(1).compress(np.concatenate(planes).tobytes())
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(12, -1).T
-    steps, values = np.ascontiguousarray(planes[:, :8]), np.ascontiguousarray(planes[:, 8:])
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64), values.reshape(-1).view("<f4")
+class Shard:
+    """The model's n-grams with one shard's middle words, ready to be looked up."""
+
+    def __init__(self, blob: bytes, cut: list[float], p1: np.ndarray, words: int):
+        first, middle, last, c = _unpack(blob)
+        self.base = words + 2
+        two_middle, two_last, two_c, place = _bigrams(middle, last)
+        context_at = _runs(two_middle)
+        a, g, each = _discounted(two_c, context_at, np.array(cut[:3]))
+        p2 = a + each * p1[two_last]
+        three_at = _runs(middle, first)
+        a, g3, each = _discounted(c, three_at, np.array(cut[3:]))
+        contexts = np.repeat(np.arange(len(three_at)), np.diff(np.append(three_at, len(c))))
+        self.p2 = two_middle * self.base + two_last, np.log(p2).astype(np.float32)
+        self.gamma2 = two_middle[context_at], np.log(g).astype(np.float32)
+        self.p3 = contexts * self.base + last, np.log(a + each * p2[place]).astype(np.float32)
+        self.gamma3 = middle[three_at] * self.base + first[three_at], np.log(g3).astype(np.float32)
+
+    def log_p(self, first: np.ndarray, middle: np.ndarray, last: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """The log probability of each last word after two others (``logs``: by its id alone)."""
+        hit, at = _found(self.p2[0], middle * self.base + last)
+        known, to = _found(self.gamma2[0], middle)
+        out = np.where(hit, self.p2[1][at], logs[last] + np.where(known, self.gamma2[1][to], 0))
+        known, to = _found(self.gamma3[0], middle * self.base + first)
+        hit, at = _found(self.p3[0], to * self.base + last)
+        return np.where(known & hit, self.p3[1][at], out + np.where(known, self.gamma3[1][to], 0))
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the numbers asked for are among sorted keys, and where."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, at
 
 
 class Tables:
-    """The model as each worker holds it: a table of words, and of the others one for each shard."""
+    """The model as each worker holds it: words, and packed shards or none."""
 
-    def __init__(self, words: np.ndarray, logs: np.ndarray, blobs: dict[tuple[int, int], bytes], shards: int):
-        self.words, self.logs, self.blobs, self.shards = words, logs, blobs, shards
-        self._open: dict[int, list] | None = None
+    def __init__(self, words: np.ndarray, logs: np.ndarray, unseen: float, shards: int, cut: list[float] = (), blobs: dict[int, bytes] | None = None):
+        self.words, self.shards, self.blobs, self.cut = Vocabulary(words), shards, blobs or {}, cut
+        self.p1 = np.exp(logs)
+        self.logs = np.concatenate([logs, [unseen, unseen]])
+        self._open: dict[int, Shard] = {}
 
-    def of(self, t: int) -> list:
-        if self._open is None:
-            none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    def of(self, shard: int) -> Shard | None:
+        if shard not in self._open and shard in self.blobs:
             # each packed table goes as it is opened
-            self._open = {i: [_unpacked(self.blobs.pop((i, s))) if (i, s) in self.blobs else none for s in range(self.shards)] for i in range(1, len(_TABLES))}
-        return self._open[t]
+            self._open[shard] = Shard(self.blobs.pop(shard), self.cut, self.p1, len(self.p1))
+        return self._open.get(shard)
 
 
 class Model:
-    """Packed tables ``t, shard, n, packed``, the words' own log probabilities, and that of a word never seen."""
+    """Packed counts ``shard, n, packed, cut`` (cut: discounts of bigrams and trigrams), the words with their own log probabilities, and that of a word never seen."""
 
     def __init__(self, packed: DataFrame, words: np.ndarray, logs: np.ndarray, unseen: float, shards: int = SHARDS):
         self.packed, self.words, self.logs, self.unseen, self.shards = packed, words, logs, unseen, shards
         self._shared = None
 
     def shared(self, most: int = BROADCAST_ROWS):
-        """The tables as one broadcast, made once, or None if they have more than ``most`` rows."""
+        """The tables as one broadcast, made once, or None if they have more than ``most`` trigrams."""
         if self._shared is None and (self.packed.agg(F.sum("n").alias("n")).first()["n"] or 0) <= most:
-            blobs = {}
-            for t in range(1, len(_TABLES)):
-                got = self.packed.filter(F.col("t") == t).select("shard", "packed").toArrow()
-                blobs |= {(t, s): b for s, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
-            self._shared = self.packed.sparkSession.sparkContext.broadcast(Tables(self.words, self.logs, blobs, self.shards))
+            got = self.packed.select("shard", "packed", "cut").collect()
+            blobs = {r["shard"]: bytes(r["packed"]) for r in got}
+            self._shared = self.packed.sparkSession.sparkContext.broadcast(Tables(self.words, self.logs, self.unseen, self.shards, list(got[0]["cut"]) if got else [], blobs))
         return self._shared
 
-    def rows(self, t: int) -> DataFrame:
-        """``key, value`` of a table."""
-        spark = self.packed.sparkSession
-        if t == 0:
-            if not len(self.words):
-                return spark.createDataFrame([], "key bigint, value float")
-            return spark.createDataFrame(list(zip(self.words.view(np.int64).tolist(), self.logs.tolist(), strict=True)), "key bigint, value float")
-
-        def run(batches):
-            for batch in batches:
-                for blob in batch.column(0):
-                    keys, values = _unpacked(blob.as_py())
-                    yield pa.RecordBatch.from_arrays([_long(keys), pa.array(values)], ["key", "value"])
-
-        return self.packed.filter(F.col("t") == t).select("packed").mapInArrow(run, "key bigint, value float")
-
-
-def _shard(middle: np.ndarray, shards: int) -> np.ndarray:
-    return hashing.mix(middle) % np.uint64(shards)
-
 
 def fit(texts: DataFrame, text: str = "text") -> Model:
-    """The model of ``texts``: log probabilities of n-grams (``p``) and log weights of their contexts (``gamma``).
+    """The model of ``texts``: log probabilities of n-grams and log weights of their contexts, kept as counts.
 
     The highest order has counts, lower orders the numbers of different words before, and the
     lowest is mixed with an even share for words never seen. The distinct words of ``texts``
     must be few enough for the driver, which holds a count of each.
     """
-    spark = texts.sparkSession
-    tables = stored(count_tables(texts, text), "trigram-counts")
+    words = vocabulary(texts, text)
+    tables = stored(count_tables(texts, words, text), "trigram-counts", clean=True)
 
     def summaries(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                first, middle, last, c = _columns(batch, i)
+            for blob in batch.column(0):
+                first, middle, last, c = _unpack(blob.as_py())
                 _, bi_last, bi_c, _ = _bigrams(middle, last)
-                words, before = np.unique(bi_last, return_counts=True)
+                ids, before = np.unique(bi_last, return_counts=True)
                 by_count = [np.unique(np.minimum(x, 5), return_counts=True) for x in (c, bi_c)]
-                kind = np.repeat([3, 2, 1], [len(by_count[0][0]), len(by_count[1][0]), len(words)])
-                keys = np.concatenate([by_count[0][0], by_count[1][0], words.view(np.int64)])
+                kind = np.repeat([3, 2, 1], [len(by_count[0][0]), len(by_count[1][0]), len(ids)])
+                keys = np.concatenate([by_count[0][0], by_count[1][0], ids])
                 yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.concatenate([by_count[0][1], by_count[1][1], before]).astype(np.int64))], ["kind", "key", "c"])
 
-    got = tables.mapInArrow(summaries, "kind int, key bigint, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c")).toArrow()
-    kind, keys, c = (got.column(i).to_numpy() for i in range(3))
+    got = stored(tables.select("packed").mapInArrow(summaries, "kind int, key bigint, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c")), "continuations", clean=True)
+    table = got.toArrow()
+    discard(got)
+    kind, keys, c = (table.column(i).to_numpy() for i in range(3))
     of = {n: dict(zip(keys[kind == n].tolist(), c[kind == n].tolist(), strict=True)) for n in (2, 3)}
-    order = np.argsort(keys[kind == 1].view(np.uint64))
-    words, before = keys[kind == 1].view(np.uint64)[order], c[kind == 1][order]
+    before = np.zeros(len(words), np.int64)
+    before[keys[kind == 1]] = c[kind == 1]
     d1 = _discounts(dict(zip(*(x.tolist() for x in np.unique(before, return_counts=True)), strict=True)))
     alpha, gamma, _ = _discounted(before, np.zeros(1, np.int64), d1) if len(words) else (np.zeros(0), [1.0], None)
     even = float(gamma[0]) / (len(words) + 1)
-    shared = spark.sparkContext.broadcast((words, alpha + even, _discounts(of[2]), _discounts(of[3])))
+    cut = F.array(*(F.lit(float(d)) for n in (2, 3) for d in _discounts(of[n])))
+    packed = tables.withColumn("cut", cut)
+    packed._stored_at = tables._stored_at
+    return Model(packed, words, np.log(alpha + even), float(np.log(even)))
 
-    def logs(batches):
-        words, p1, d2, d3 = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                first, middle, last, c = _columns(batch, i)
-                two_middle, two_last, two_c, place = _bigrams(middle, last)
-                context_at = _runs(two_middle)
-                a, g, each = _discounted(two_c, context_at, d2)
-                p2 = a + each * p1[np.searchsorted(words, two_last)]
-                three_at = _runs(middle, first)
-                a, g3, each = _discounted(c, three_at, d3)
-                p3 = a + each * p2[place]
-                made = [(hashing.joined(two_middle, two_last), p2), (two_middle[context_at], g), (_keys(first, middle, last)[3, "p"], p3), (hashing.joined(first[three_at], middle[three_at]), g3)]
-                blobs = []
-                for key, value in made:
-                    order = np.argsort(key)
-                    blobs.append(_packed(key[order], np.log(value[order])))
-                yield pa.RecordBatch.from_arrays([pa.array(range(1, 5), pa.int32()), pa.array([batch.column(0)[i].as_py()] * 4, pa.int32()), pa.array([len(key) for key, _ in made], pa.int64()), pa.array(blobs, pa.binary())], ["t", "shard", "n", "packed"])
-
-    model = stored(tables.mapInArrow(logs, "t int, shard int, n bigint, packed binary"), "model")
-    discard(tables)
-    return Model(model, words, np.log(alpha + even), float(np.log(even)))
-
-
-def log_probabilities(tables: Tables, unseen: float, h: np.ndarray, row_at: np.ndarray) -> np.ndarray:
+
+def log_probabilities(tables: Tables, h: np.ndarray, row_at: np.ndarray) -> np.ndarray:
     """The log probability of each word after its context."""
-    if not len(h):
-        return np.zeros(0)
-    distinct, back = np.unique(h, return_inverse=True)
-    p1 = np.full(len(distinct), unseen)
-    if len(tables.words):
-        at = np.minimum(np.searchsorted(tables.words, distinct), len(tables.words) - 1)
-        p1 = np.where(tables.words[at] == distinct, tables.logs[at], unseen)
-    # what a place needs beside its own word lies in the shard of the word before
-    middle = _back(h, row_at, 1)
-    shard = _shard(middle, tables.shards)
-    order = np.argsort(shard.astype(np.uint16), kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(tables.shards + 1, dtype=np.uint64))
-    keys = {name: k[order] for name, k in _keys(_back(h, row_at, 2), middle, h).items()}
-
-    def look(t: int):
-        asked = keys[_TABLES[t]]
-        found, value = np.zeros(len(asked), bool), np.zeros(len(asked))
-        for s, (table, values) in enumerate(tables.of(t)):
-            a, b = edges[s], edges[s + 1]
-            if len(table) and b > a:
-                at = np.minimum(np.searchsorted(table, asked[a:b]), len(table) - 1)
-                found[a:b] = table[at] == asked[a:b]
-                value[a:b] = np.where(found[a:b], values[at], 0)
-        return found, value
-
-    logs = p1[back][order]
-    for p, gamma in ((1, 2), (3, 4)):
-        hit, value = look(p)
-        logs = np.where(hit, value, logs + look(gamma)[1])
     out = np.empty(len(h))
-    out[order] = logs
+    if not len(h):
+        return out
+    order, first, middle, last = tables.words.trigrams(h, row_at, tables.shards)
+    shard = middle % tables.shards
+    at = np.append(_runs(shard), len(shard))
+    for a, b in zip(at, at[1:], strict=False):
+        table = tables.of(int(shard[a]))
+        out[order[a:b]] = tables.logs[last[a:b]] if table is None else table.log_p(first[a:b], middle[a:b], last[a:b], tables.logs)
     return out
 
 
 def perplexities(docs: DataFrame, model: Model, text: str = "text", n_words: str = "n_words", log_p: str = "log_p", most: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` plus the number of words and the sum of their log probabilities (no words: 0 and 0.0).
 
-    A model of at most ``most`` rows is joined where the documents lie; a larger one by shuffles.
+    A model of at most ``most`` trigrams is joined where the documents lie; a larger one shard by shard.
     """
-    shared, unseen = model.shared(most), model.unseen
+    shared = model.shared(most)
     if shared is None:
-        return joined_perplexities(docs, model, text, n_words, log_p)
+        return with_sums(docs, text_sums(docs, model, text), text, n_words, log_p)
     at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField(n_words, LongType()), StructField(log_p, DoubleType())])
 
@@ -310,48 +345,95 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", n_words: str
             # half a megabyte at a time, so that working arrays and what goes back stay small
             for a, b in hashing.groups_of_rows(offsets, 1 << 19):
                 h, row_at = hashing.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                sums = np.concatenate([[0.0], np.cumsum(log_probabilities(shared.value, unseen, h, row_at))])
-                columns = [*batch.slice(a, b - a).columns, pa.array(np.diff(row_at)), pa.array(sums[row_at[1:]] - sums[row_at[:-1]])]
+                whole = np.rint(log_probabilities(shared.value, h, row_at) / _PART).astype(np.int64)
+                sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(whole)])
+                columns = [*batch.slice(a, b - a).columns, pa.array(np.diff(row_at)), pa.array((sums[row_at[1:]] - sums[row_at[:-1]]) * _PART)]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, n_words, log_p])
 
     return docs.mapInArrow(run, schema)
 
 
-def joined_perplexities(docs: DataFrame, model: Model, text: str = "text", n_words: str = "n_words", log_p: str = "log_p") -> DataFrame:
-    """``perplexities`` by shuffled joins of each distinct text's n-grams to the model's tables.
+def _identity(text: str) -> list[Column]:
+    t = F.col(text).cast("string")
+    return [F.xxhash64(t), F.xxhash64(F.lit(5), t)]
 
-    Texts stand by two 64-bit hashes and are not shuffled themselves; sums over equal texts
-    are divided by their number. An n-gram that fills a share of the corpus is one row for
-    each text that has it, and the join on it is one that Spark splits if it is skewed.
-    """
-    hash_1, hash_2, joined_n, joined_p = fresh(docs, "text_hash", "text_hash_2", n_words, log_p)
-    identity = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(5), c))
-    names = [f"{kind}{n}" for n, kind in _TABLES]
 
-    def grams(batches):
+def text_sums(docs: DataFrame, model: Model, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``a, b, n, s``: of each text, by two 64-bit hashes, the number of words and the sum of their log probabilities.
+
+    A chunk of texts sends each shard its trigrams, with the place of their texts, as one packed
+    row. A task reads a shard's counts, then the rows that ask for it one after another, and
+    sends sums by text; a chunk's sums are added up. Texts themselves are not shuffled.
+    """
+    spark = docs.sparkSession
+    shards = model.shards
+    shared = spark.sparkContext.broadcast(Tables(model.words, model.logs, model.unseen, shards))
+    texts = docs.select(*_identity(text), F.col(text).cast("string")).toDF("a", "b", "t").filter("t is not null")
+    counts = model.packed.select(F.lit(-1).cast("bigint").alias("chunk"), F.lit(0).alias("rows"), "shard", "packed", "cut")
+
+    def sent(batches):
+        task, chunk = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
+            same = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
+            batch = batch.take(pa.array(np.sort(np.unique(same, axis=0, return_index=True)[1])))
             data, offsets = utf8(batch.column(2))
-            for a, b in hashing.groups_of_rows(offsets):
-                h, row_at = hashing.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rows = pa.array(np.repeat(np.arange(a, b), np.diff(row_at)))
-                keys = _keys(_back(h, row_at, 2), _back(h, row_at, 1), h)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(_long(keys[t]) for t in _TABLES)], ["a", "b", *names])
-
-    t = F.col(text).cast("string")
-    texts = docs.select(*identity(t), t).toDF("a", "b", "t").filter("t is not null")
-    copies = texts.groupBy("a", "b").agg(F.count("*").alias("copies"))
-    each = texts.mapInArrow(grams, "a bigint, b bigint, " + ", ".join(f"{x} bigint" for x in names)).groupBy("a", "b", *names).agg(F.count("*").alias("times"))
-    for i, name in enumerate(names):
-        table = model.rows(i).select(F.col("key").alias(name), F.col("value").cast("double").alias(f"value_{name}"))
-        each = each.join(table, name, "left")
-    value: Column = F.coalesce("value_p1", F.lit(float(np.float32(model.unseen))))
-    for n in (2, 3):
-        value = F.coalesce(f"value_p{n}", value + F.coalesce(f"value_gamma{n}", F.lit(0.0)))
-    sums = each.groupBy("a", "b").agg(F.sum("times").alias(joined_n), F.sum(F.col("times") * value).alias(joined_p)).join(copies, ["a", "b"])
-    sums = sums.select(F.col("a").alias(hash_1), F.col("b").alias(hash_2), *((F.col(c) / F.col("copies")).alias(c) for c in (joined_n, joined_p)))
-    out = docs.withColumns(dict(zip((f"{hash_1}_of", f"{hash_2}_of"), identity(F.coalesce(t, F.lit(""))), strict=True)))
-    out = out.join(sums, (F.col(f"{hash_1}_of") == F.col(hash_1)) & (F.col(f"{hash_2}_of") == F.col(hash_2)), "left")
-    return out.select(*docs.columns, F.coalesce(joined_n, F.lit(0.0)).cast("long").alias(n_words), F.coalesce(joined_p, F.lit(0.0)).alias(log_p))
+            for x, y in hashing.groups_of_rows(offsets, CHUNK):
+                h, row_at = hashing.words(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                if not len(h):
+                    continue
+                order, first, middle, last = shared.value.words.trigrams(h, row_at, shards)
+                row = np.repeat(np.arange(y - x), np.diff(row_at))[order]
+                texts = np.concatenate([*(batch.column(i).to_numpy()[x:y] for i in (0, 1)), np.diff(row_at)]).astype("<i8")
+                yield _by_shard(task + chunk, y - x, shards, first, middle, last, row, (-1, texts.tobytes()))
+                chunk += 1
+
+    def asked(batches):
+        table, of = None, None
+        for batch in batches:
+            for chunk, rows, shard, packed, cut in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4), strict=True):
+                if chunk < 0:
+                    table, of = Shard(packed.as_py(), cut.as_py(), shared.value.p1, len(shared.value.p1)), shard
+                    continue
+                sums = packed.as_py()
+                if shard >= 0:
+                    first, middle, last, row = _unpack(sums)
+                    logs = shared.value.logs
+                    p = table.log_p(first, middle, last, logs) if of == shard else logs[last]
+                    # halves, since numpy adds weights as floats: each stays exact
+                    whole = np.rint(p / _PART).astype(np.int64)
+                    high, low = (np.bincount(row, x, rows).astype(np.int64) for x in (whole >> 20, whole & 0xFFFFF))
+                    sums = ((high << 20) + low).astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int32()), pa.array([sums], pa.binary())], ["chunk", "shard", "sums"])
+
+    def added(key, table):
+        told, total = None, 0
+        for shard, sums in zip(table.column("shard").to_pylist(), table.column("sums"), strict=True):
+            x = np.frombuffer(sums.as_py(), "<i8")
+            if shard < 0:
+                told = x.reshape(3, -1)
+            else:
+                total = total + x
+        return pa.table([*(pa.array(x) for x in told), pa.array(total * _PART)], ["a", "b", "n", "s"])
+
+    parts = []
+    for k in range(rounds):
+        blocks = texts.filter(F.pmod(F.xxhash64(F.lit(11), "a"), F.lit(rounds)) == k).mapInArrow(sent, _BLOCKS)
+        dealt = counts.unionByName(blocks.withColumn("cut", F.lit(None).cast("array<double>"))).repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
+        sums = dealt.mapInArrow(asked, "chunk bigint, shard int, sums binary").groupBy("chunk").applyInArrow(added, "a bigint, b bigint, n bigint, s double")
+        parts.append(stored(sums, "text-sums", clean=True))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    # equal texts have equal sums
+    return stored(out.groupBy("a", "b").agg(F.min("n").alias("n"), F.min("s").alias("s")), "sums", clean=True)
+
+
+def with_sums(docs: DataFrame, sums: DataFrame, text: str = "text", n_words: str = "n_words", log_p: str = "log_p") -> DataFrame:
+    """``docs`` plus what ``text_sums`` says of their texts (null texts: 0 and 0.0)."""
+    own = fresh(docs, "text_hash", "text_hash_2")
+    a, b, n, s = fresh(docs.withColumns(dict.fromkeys(own, F.lit(0))), "sums_a", "sums_b", "sums_n", "sums_s")
+    out = docs.withColumns(dict(zip(own, _identity(text), strict=True))).join(sums.toDF(a, b, n, s), (F.col(own[0]) == F.col(a)) & (F.col(own[1]) == F.col(b)), "left")
+    return out.select(*docs.columns, F.coalesce(n, F.lit(0)).alias(n_words), F.coalesce(s, F.lit(0.0)).alias(log_p))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", max_train: int | None = MAX_TRAIN, held_out: float = HELD_OUT, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -372,8 +454,8 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     through; on a clash of names the new columns get a suffix (they are the last four).
     """
     out_n, out_p, out_t, out_k, lp, key = fresh(docs, "n_words", "perplexity", "threshold", "keep", "log_p", "threshold_lang")
-    model, by_lang, every, mean = thresholds(docs, labels, doc_id, text, lang, quality, max_train, held_out, quantile, margin)
-    done = perplexities(docs, model, text, out_n, lp)
+    model, sums, by_lang, every, mean = thresholds(docs, labels, doc_id, text, lang, quality, max_train, held_out, quantile, margin)
+    done = perplexities(docs, model, text, out_n, lp) if sums is None else with_sums(docs, sums, text, out_n, lp)
     done = done.withColumn(out_p, F.exp(_shrunk(F.col(out_n), F.col(lp), mean))).drop(lp)
     done = done.join(by_lang.withColumnsRenamed({"lang": key, "threshold": out_t}), F.col(lang) == F.col(key), "left").drop(key)
     done = done.withColumn(out_t, F.coalesce(F.col(out_t), F.lit(every).cast("double")))
@@ -397,29 +479,35 @@ def quantiles(values: DataFrame, q: float, by: list[str]) -> DataFrame:
 
 
 def thresholds(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, quality: str, max_train: int | None, held_out: float, quantile: float, margin: float):
-    """The model; ``lang, threshold``; the threshold of all languages; the mean log probability of a trusted word.
+    """The model; the sums of all texts, or None if the model is broadcast; ``lang, threshold``; the threshold of all languages; the mean log probability of a trusted word.
 
-    Documents of the held-out half are scored where they lie and only then joined to the
-    labels, so that no text is shuffled.
+    Documents of the held-out half are scored where they lie, or by the sums, and only then
+    joined to the labels, so that no text is shuffled.
     """
     trusted = labels.filter(F.col(quality) == 1).select(F.col(doc_id).alias("id")).distinct()
     part = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(1000)) < int(held_out * 1000)
     sample = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("l")).join(trusted.filter(~part), "id", "left_semi") if max_train is not None else None
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    # a join with all ids may shuffle texts: those of the other half stay out of it
-    texts = texts.filter(~part).join(trusted, "id", "left_semi") if max_train is None else texts.join(F.broadcast(_smallest(sample, max_train)), "id", "left_semi")
-    texts = stored(texts, "trusted-text")
+    if max_train is None:
+        ids = stored(trusted.filter(~part), "trusted-ids", clean=True)
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # a join with very many ids shuffles texts: those of the other half stay out of it
+    texts = texts.filter(~part).join(ids, "id", "left_semi") if max_train is None else texts.join(F.broadcast(_smallest(sample, max_train)), "id", "left_semi")
+    texts = stored(texts, "trusted-text", clean=True)
     model = fit(texts)
     discard(texts)
     held = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.col(text).alias("text")).filter(part)
-    scored = perplexities(held, model).select("id", "l", "n_words", "log_p").filter("n_words > 0")
-    scored = stored(scored.join(trusted, "id", "left_semi"), "held-out")
+    sums = text_sums(docs, model, text) if model.shared() is None else None
+    if sums is not None:
+        discard(model.packed)
+    scored = (perplexities(held, model) if sums is None else with_sums(held, sums)).select("id", "l", "n_words", "log_p").filter("n_words > 0")
+    scored = stored(scored.join(trusted, "id", "left_semi"), "held-out", clean=True)
     mean = (scored.agg((F.sum("log_p") / F.sum("n_words")).alias("m")).first() or {"m": None})["m"] or 0.0
     values = scored.select("l", _shrunk(F.col("n_words"), F.col("log_p"), mean).alias("value"))
     limit = F.exp("q") * margin
     every = quantiles(values.withColumn("l", F.lit(0)), quantile, ["l"]).select(limit.alias("q")).first()
     by_lang = quantiles(values.filter("l is not null"), quantile, ["l"]).select(F.col("l").alias("lang"), limit.alias("threshold"))
-    return model, stored(by_lang, "thresholds"), every and every["q"], mean
+    return model, sums, stored(by_lang, "thresholds"), every and every["q"], mean
 
 
 def _smallest(sample: DataFrame, n: int, salts: int = 64) -> DataFrame:
