@@ -54,3 +54,15 @@ def test_sums_by_shards_are_those_of_a_broadcast_model(spark, monkeypatch, round
     assert len(got) == 344
     for r in got:
         assert r["n_words"] == want[r["i"]]["n_words"] and r["log_p"] == pytest.approx(want[r["i"]]["log_p"], rel=1e-9)
+
+
+def test_documents_are_judged_alike_by_shards(spark, monkeypatch):
+    docs = _texts(spark, 200).selectExpr("cast(i as bigint) as doc_id", "text", "if(i % 3 = 0, 'fr', if(i % 3 = 1, 'en', null)) as lang", "i as log_p", "i as sums_a")
+    odd = spark.createDataFrame([(900, None, "en", 0, 0), (None, "w1 w2", "fr", 0, 0), (7, "odd " * 300, "en", 0, 0), (7, "odd " * 300, "en", 0, 0), (901, " ", None, 0, 0)], docs.schema)
+    docs = docs.union(odd)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 7 > 0) as quality")
+    rows = lambda: sorted(((*r[:5], r["n_words"], round(r["perplexity"], 4), round(r["threshold"], 4), r["keep"]) for r in quality.classify(docs, labels).collect()), key=str)
+    want = rows()
+    asked = []
+    monkeypatch.setattr(quality.Model, "shared", lambda self, most=0: asked.append(most))
+    assert rows() == want and asked and {r[-1] for r in want} == {True, False}
