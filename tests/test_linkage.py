@@ -335,3 +335,19 @@ def test_match_lists_normalize_records_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "_parts", lambda *a: made.append(a) or parts(*a))
     assert queries.sk4_match_lists(spark, "/root/testdata/sf0.001").columns == ["source1_entity_id", "matched_entity_ids"]
     assert len(made) == 1
+
+
+def test_ablation_broadcasts_no_table_of_records(spark):
+    record = "entity_id string, country string, clean_name_full string"
+    a, t = spark.createDataFrame([("S1-1", "US", "x"), ("S1-2", "US", "y")], record), spark.createDataFrame([("S2-1", "US", "x"), ("S2-2", "US", "x")], record)
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 1.0, 1), ("S1-2", "S2-2", 1.0, 1)], "s1_id string, target_id string, score double, rank int")
+    out = evaluation.ablation(a, {"a": pairs, "b": pairs.limit(0)}, queries._true_by_name(a, t))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = out.select("signal", "total_true_matches", "found_true_matches")
+        assert sorted(tuple(r) for r in out.collect()) == [("a", 2, 1), ("b", 2, 0)]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
